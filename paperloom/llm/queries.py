@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes
-from paperloom.llm import splitting
+from paperloom.llm import distinctive, mixing, packing, splitting, tokens
 from paperloom.session import read
 
 TEXT_LIMIT, TEXT_OVERLAP = 4000, 200
@@ -38,5 +38,91 @@ def p3_pieces(spark, d):
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces)}
-ORACLE: dict[str, str] = {}
+def _scored(spark, d):
+    records = existing_nodes(read(spark, d, "nodes"), ["name", "body_excerpt"])
+    return distinctive.score_terms(records, "id", ["name", "body_excerpt"]).withColumnRenamed("key", "node_id")
+
+
+def p7_found(spark, d):
+    return _scored(spark, d).filter("tf >= 3 and df between 2 and 5").select("node_id", "term").distinct()
+
+
+def p7_scores(spark, d):
+    scored = _scored(spark, d)
+    return scored.select("node_id", "term", "tf", "df", "cf", (F.round(F.col("score") * 1e6) / 1e6 + 0.0).alias("score"))
+
+
+def _packed(spark, d, measure):
+    docs = read(spark, d, "documents").select("doc_id", measure("text").alias("tokens"))
+    return packing.pack(docs, "doc_id", "tokens", read(spark, d, "containers"))
+
+
+def p8_found(spark, d):
+    cut = _packed(spark, d, tokens.plain_tokens).filter("n_pieces > 1")
+    return cut.select("container_kind", "doc_id").distinct()
+
+
+def p8_assignment(spark, d):
+    return _packed(spark, d, tokens.tokenizer_tokens)
+
+
+def p8_fill(spark, d):
+    rows = _packed(spark, d, tokens.tokenizer_tokens)
+    full = rows.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("tokens"))
+    per = full.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("n_tokens"))
+    return per.join(F.broadcast(read(spark, d, "containers")), "container_kind").withColumn(
+        "fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))
+    )
+
+
+def _mix(spark, d, measure):
+    docs = read(spark, d, "documents").select("doc_id", "source", measure("text").alias("size"))
+    return mixing.mix(docs, "doc_id", "size", "source", read(spark, d, "mix_targets"))
+
+
+def p9_found(spark, d):
+    return _mix(spark, d, tokens.plain_tokens)[1].filter("short").select("source").distinct()
+
+
+def p9_selection(spark, d):
+    return _mix(spark, d, tokens.tokenizer_tokens)[0]
+
+
+def p9_shares(spark, d):
+    return _mix(spark, d, tokens.tokenizer_tokens)[1]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_pieces, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection, p9_shares)
+}
+
+_SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+#: DuckDB has no class intersection: single characters are set apart by spaces first.
+_COUNT = rf"""len(regexp_extract_all(regexp_replace(text, '([{_SINGLE}])', ' \1 ', 'g'), '[\pL\pN_]+|[^\pL\pN_\s\pZ]'))"""
+
+_TERMS = r"""
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM nodes WHERE id IS NOT NULL),
+alive AS (
+  SELECT * FROM ranked WHERE rn = 1 AND coalesce(CASE WHEN json_valid(metadata)
+    THEN json_extract_string(metadata, '$.deleted') END, '') <> 'true'),
+words AS (
+  SELECT id AS node_id, unnest(regexp_extract_all(lower(concat_ws(' ', name, body_excerpt)), '[\pL\pN]+')) AS term FROM alive),
+tfs AS (SELECT node_id, term, count(*) AS tf FROM words GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tfs GROUP BY term),
+n AS (SELECT count(DISTINCT node_id)::DOUBLE AS n FROM words)
+""".replace("\\", "\\")
+
+ORACLE: dict[str, str] = {
+    "p7_found": f"WITH {_TERMS} SELECT node_id, term FROM tfs JOIN dfs USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5",
+    "p7_scores": f"""WITH {_TERMS}
+SELECT node_id, term, tf::INTEGER AS tf, df, cf,
+       round(tf * (-log2(df / n) + log2(1 - exp(-cf / n))) * 1e6) / 1e6 + 0.0 AS score
+FROM tfs JOIN dfs USING (term) CROSS JOIN n""",
+    "p8_found": f"SELECT container_kind, doc_id FROM documents JOIN containers ON {_COUNT} > capacity_tokens",
+    "p9_found": f"""WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents),
+sums AS (SELECT s, sum(n) AS n FROM sized GROUP BY s), total AS (SELECT sum(n) AS n FROM sums)
+SELECT m.source FROM mix_targets m CROSS JOIN total LEFT JOIN sums ON sums.s = lower(trim(m.source))
+WHERE coalesce(sums.n, 0) * m.max_repeats < m.target_share * total.n""",
+}
