@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes
-from paperloom.llm import distinctive, mixing, packing, splitting, tokens
+from paperloom.llm import distinctive, markup, mixing, packing, splitting, tokens
 from paperloom.session import read
 
 TEXT_LIMIT, TEXT_OVERLAP = 4000, 200
@@ -38,6 +38,30 @@ def p3_pieces(spark, d):
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _marked_up(spark, d):
+    sections = read(spark, d, "section_chunks").select(F.lit("text").alias("field"), "node_id", F.col("text").alias("item"))
+    nodes = existing_nodes(read(spark, d, "nodes").filter("id is not null"), ["body_excerpt"])
+    return sections, nodes.select(F.lit("body_excerpt").alias("field"), F.col("id").alias("node_id"), F.col("body_excerpt").alias("item"))
+
+
+def p6_found(spark, d):
+    sections, excerpts = _marked_up(spark, d)
+    keys = ["field", "node_id"]
+    in_text = markup.find_residue(sections, keys, "item", ["html", "wiki", "latex"])
+    return in_text.unionByName(markup.find_residue(excerpts, keys, "item", list(markup.FAMILIES)))
+
+
+def p6_clean(spark, d):
+    sections, excerpts = _marked_up(spark, d)
+    parts = [markup.clean(sections.distinct(), "item", False), markup.clean(excerpts, "item", True)]
+    return parts[0].unionByName(parts[1]).select("field", "node_id", "clean_text")
+
+
+def p6_blocks(spark, d):
+    sections, excerpts = _marked_up(spark, d)
+    return markup.classify(sections.unionByName(excerpts), "item").groupBy("field", "kind").agg(F.count("*").alias("n_blocks"))
+
+
 def _scored(spark, d):
     records = existing_nodes(read(spark, d, "nodes"), ["name", "body_excerpt"])
     return distinctive.score_terms(records, "id", ["name", "body_excerpt"]).withColumnRenamed("key", "node_id")
@@ -94,7 +118,7 @@ def p9_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_pieces, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection, p9_shares)
+    for f in (p3_found, p3_pieces, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection, p9_shares)
 }
 
 _SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
