@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes
-from paperloom.llm import distinctive, markup, mixing, packing, splitting, tokens
+from paperloom.llm import distinctive, language, markup, mixing, packing, splitting, tokens
 from paperloom.session import read
 
 TEXT_LIMIT, TEXT_OVERLAP = 4000, 200
@@ -116,10 +116,30 @@ def p9_shares(spark, d):
     return _mix(spark, d, tokens.tokenizer_tokens)[1]
 
 
+def _segments(spark, d):
+    docs = read(spark, d, "documents")
+    return language.segments(docs, language.fit(docs))
+
+
+def p10_found(spark, d):
+    return language.wrong_labels(_segments(spark, d))
+
+
+def p10_segments(spark, d):
+    return _segments(spark, d)
+
+
+def p10_languages(spark, d):
+    return language.documents_languages(_segments(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_pieces, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection, p9_shares)
-}
+    for f in (
+        p3_found, p3_pieces, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
+        p9_shares, p10_found, p10_segments, p10_languages,
+    )
+}
 
 _SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
 #: DuckDB has no class intersection: single characters are set apart by spaces first.
