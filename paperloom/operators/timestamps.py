@@ -9,7 +9,8 @@ taken), none means it does not exist (it moves forward by the gap), one gives th
 Defined results: null, blank and unreadable values and impossible days give status ``unreadable``
 and no instant; a date without time is midnight UTC; a time without zone uses the zone of the row's
 project, UTC if that is unknown; before 1900 and after 2200 the nearest known offset holds;
-repeated rows come out as often as they went in; extra columns are kept out.
+repeated rows come out as often as they went in; extra columns are kept, except that utc_second and
+status are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import boxed, unboxed
+
 FIRST_YEAR, LAST_YEAR = 1900, 2200
 
 #: Offsets in seconds of zone abbreviations, as people write them.
@@ -225,7 +228,7 @@ def normalise(df: DataFrame, value: str, project: str, zones: DataFrame) -> Data
     number of projects and by the IANA database, so a hot project or zone cannot skew anything.
     """
     home = zones.groupBy(F.col("project").alias("_project")).agg(F.min(F.lower(F.trim("time_zone"))).alias("_home"))
-    parsed = parse_local(df.withColumn("_project", F.col(project)), value)
+    parsed = parse_local(boxed(df, _value=F.col(value), _project=F.col(project)), "_value")
     parsed = parsed.join(F.broadcast(home), "_project", "left").withColumn(
         "_zone_key",
         F.when(F.col("_offset").isNull() & F.col("_local").isNotNull(),
@@ -250,7 +253,7 @@ def normalise(df: DataFrame, value: str, project: str, zones: DataFrame) -> Data
         .otherwise("zoned")
     )
     second = F.col("_local") - F.coalesce("_offset", "offset")
-    return found.select(*[found[c] for c in df.columns], second.alias("utc_second"), status.alias("status"))
+    return unboxed(found, df, utc_second=second, status=status)
 
 
 def metadata_dates(governance: DataFrame, research: DataFrame, zones: DataFrame) -> DataFrame:

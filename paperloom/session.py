@@ -59,3 +59,19 @@ def epoch_seconds(column) -> F.Column:
         .otherwise(c)
         .cast("long")
     )
+
+
+def own(original: DataFrame, name: str) -> F.Column:
+    """A column of ``original`` inside :func:`boxed`."""
+    return F.col(f"_own{original.columns.index(name)}")
+
+
+def boxed(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """All columns of ``df`` under neutral names beside working columns, so that names cannot clash."""
+    return df.select(*[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(df.columns)], *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, original: DataFrame, **columns: F.Column) -> DataFrame:
+    """The original columns again with result columns, which replace originals of the same name."""
+    kept = [own(original, c).alias(c) for c in original.columns if c not in columns]
+    return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
