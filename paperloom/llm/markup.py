@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.splitting import SEGMENT
+from paperloom.session import boxed, own, unboxed
 
 FENCE = "|".join(rf"^{m}[^\n]*+(?:\n(?!{m})[^\n]*+)*+(?:\n{m}[^\n]*+)?+" for m in ("```", "~~~"))
 CODE = rf"(?md)(?:{FENCE})|(`+)(?!`)[^\n]*?(?<!`)\1(?!`)"
@@ -73,15 +74,15 @@ def _once(df: DataFrame, **columns: F.Column) -> DataFrame:
 
 
 def blocks_of(texts: DataFrame, text: str) -> DataFrame:
-    """One row per block: block_no, block and the features of the tree."""
+    """One row per block: the text's row (see ``boxed``), block_no, block and the features of the tree."""
     link = r"!?\[[^\[\]\n]*\]\([^()\n]*\)|\[\[[^\[\]\n]+\]\]|\[https?://[^\]\n]+\]|<a\s[^>]*>[^<]*</a>"
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    df = _once(texts, _blocks=F.filter(F.regexp_extract_all(F.col(text), F.lit(SEGMENT), 0), lambda s: s.rlike(r"(?U)\S")))
+    df = _once(boxed(texts, _text=F.col(text)), _blocks=F.filter(F.regexp_extract_all(F.col("_text"), F.lit(SEGMENT), 0), lambda s: s.rlike(r"(?U)\S")))
     linked = lambda b: F.when(
         b.contains("[") | b.contains("<a"), words(F.array_join(F.regexp_extract_all(b, F.lit(link), 0), " "))
     ).otherwise(0)
     df = _once(df, _stats=F.transform("_blocks", lambda b: F.struct(words(b).alias("w"), linked(b).alias("l"))))
-    df = df.select(*[c for c in df.columns if c not in ("_blocks", "_stats")], "_stats", F.posexplode("_blocks").alias("_i", "block"))
+    df = df.select(*[own(texts, c) for c in texts.columns], "_stats", F.posexplode("_blocks").alias("_i", "block"))
     near = lambda k: F.get("_stats", F.col("_i") + k)
     density = lambda s: F.coalesce(F.when(s["w"] > 0, F.least(s["l"] / s["w"], F.lit(1.0))), F.lit(0.0))
     b, start = F.col("block"), F.substring("block", 1, 60)
@@ -128,7 +129,8 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int):
 def _tree(spark: SparkSession):
     """Trains the tree on the labelled table (a fixed table of some 55 rows, which comes to the driver)."""
     docs = [(k, "\n\n".join(b for _, b in doc)) for k, doc in enumerate(LABELLED)]
-    rows = blocks_of(spark.createDataFrame(docs, "doc int, text string"), "text").select("doc", "block_no", *FEATURES).collect()
+    table = spark.createDataFrame(docs, "doc int, text string")
+    rows = blocks_of(table, "text").select(own(table, "doc").alias("doc"), "block_no", *FEATURES).collect()
     label = {(k, n): name for k, doc in enumerate(LABELLED) for n, (name, _) in enumerate(doc, 1)}
     names = sorted(set(label.values()))
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float)
@@ -159,12 +161,14 @@ def find_residue(texts: DataFrame, keys: list[str], text: str, families: list[st
     Blocks that the tree calls plain are left out; the rest is tested against each family's pattern,
     HTML, wiki and LaTeX outside of code.
     """
-    blocks = classify(texts.select(*keys, text), text).filter("kind <> 'plain'").select(*keys, "block")
+    slim = texts.select(*keys, F.col(text).alias("_item"))
+    named = [own(slim, k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    blocks = classify(slim, "_item").filter("kind <> 'plain'").select(*named, "block")
     blocks = _once(blocks, _bare=without_code(F.col("block")))
     hits = [
         F.when(F.col("block" if family == "markdown" else "_bare").rlike(f"(?mdU){FAMILIES[family]}"), family) for family in families
     ]
-    found = blocks.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("family"))
+    found = blocks.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], F.explode(F.array_compact(F.array(*hits))).alias("family"))
     return found.distinct()
 
 
@@ -234,10 +238,10 @@ def _entities(c: F.Column) -> F.Column:
 def clean(texts: DataFrame, text: str, excerpt: bool) -> DataFrame:
     """Adds ``clean_text``: the text without HTML, wiki and LaTeX markup, structure kept as Markdown."""
     part = rf"{CODE}|(?:(?!^(?:```|~~~))(?!`)[\s\S])++|`+"
-    df = _once(texts, _parts=F.regexp_extract_all(F.col(text), F.lit(part), 0))
+    df = _once(boxed(texts, _text=F.col(text)), _parts=F.regexp_extract_all(F.col("_text"), F.lit(part), 0))
     rules = RULES + (EXCERPT_RULES if excerpt else [])
     marked = lambda p: p.rlike(r"[<>&\[\]{}\\$=*_~|]|''")
     is_code = lambda p: p.startswith("`") | p.startswith("~~~")
     done = F.transform("_parts", lambda p: F.when(is_code(p) | ~marked(p), p).otherwise(_entities(_rewrite(p, rules))))
     tidy = F.regexp_replace(F.regexp_replace(F.array_join(done, ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return df.withColumn("clean_text", tidy).drop("_parts")
+    return unboxed(df, texts, clean_text=tidy)

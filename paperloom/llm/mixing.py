@@ -39,8 +39,8 @@ def plan_mix(documents: DataFrame, key: str, size: str, source: str, targets: Da
         F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))).alias("repeats"),
     )
     sums = docs.groupBy("s").agg(F.sum("size").alias("supply"))
-    total = sums.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("total"))
-    plan = goal.join(sums, "s", "left").crossJoin(F.broadcast(total))  # one row on the right
+    total = sums.agg(F.sum("supply")).first()[0] or 0
+    plan = goal.join(sums, "s", "left").withColumn("total", F.lit(total).cast("long"))
     supply, budget = F.coalesce("supply", F.lit(0)), F.col("share") * F.col("total")
     whole = F.when(supply > 0, F.least(F.floor(budget / supply), F.col("repeats"))).otherwise(F.col("repeats"))
     plan = plan.select("s", "source", "share", "repeats", "total", supply.alias("supply"), budget.alias("budget"),

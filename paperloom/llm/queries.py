@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes
 from paperloom.llm import distinctive, language, markup, mixing, packing, splitting, tokens
-from paperloom.session import read
+from paperloom.session import own, read
 
 TEXT_LIMIT, TEXT_OVERLAP = 4000, 200
 EXCERPT_LIMIT, EXCERPT_OVERLAP = 500, 50
@@ -59,7 +59,8 @@ def p6_clean(spark, d):
 
 def p6_blocks(spark, d):
     sections, excerpts = _marked_up(spark, d)
-    return markup.classify(sections.unionByName(excerpts), "item").groupBy("field", "kind").agg(F.count("*").alias("n_blocks"))
+    texts = sections.unionByName(excerpts)
+    return markup.classify(texts, "item").groupBy(own(texts, "field").alias("field"), "kind").agg(F.count("*").alias("n_blocks"))
 
 
 def _scored(spark, d):

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import boxed, unboxed
+
 #: One segment is a block with the blank lines after it, or a single blank line or character between blocks.
 _FENCE = "(?:" + "|".join(rf"{m}[^\n]*+(?:\n(?!{m})[^\n]*+)*+(?:\n{m}[^\n]*+)?+" for m in ("```", "~~~")) + ")"
 _LINE = r"(?:(?!```|~~~)[^\S\n]*+[^\s][^\n]*+)"
@@ -57,12 +59,11 @@ def split_items(items: DataFrame, text: str, limit: int, overlap: int) -> DataFr
 
     ``blocks`` is null for items within the limit, whose only piece is the item itself.
     """
-    source = F.col(text)
+    source = F.col("_text")
     over = F.octet_length(source) > limit
     segments = F.when(over, F.regexp_extract_all(source, F.lit(SEGMENT), 0))
-    df = items.filter(F.length(F.trim(F.regexp_replace(source, r"\s+", " "))) > 0).select(
-        "*", F.inline(F.array(F.struct(segments.alias("_segments"), over.alias("_over"))))
-    )
+    df = boxed(items, _text=F.col(text)).filter(F.length(F.trim(F.regexp_replace(source, r"\s+", " "))) > 0)
+    df = df.select("*", F.inline(F.array(F.struct(segments.alias("_segments"), over.alias("_over")))))
     solid = F.filter(F.col("_segments"), lambda s: s.rlike(r"(?U)\S"))
     blocks = F.transform(solid, lambda s: F.octet_length(F.regexp_replace(s, _AFTER_BLOCK, "")))
     marked = F.array_join(
@@ -70,13 +71,12 @@ def split_items(items: DataFrame, text: str, limit: int, overlap: int) -> DataFr
         "",
     )
     cores = F.regexp_extract_all(marked, F.lit(core_pattern(limit - overlap - 3, overlap + 3)), 0)
-    df = df.select("*", F.inline(F.array(F.struct(blocks.alias("blocks"), cores.alias("_cores"))))).drop("_segments")
+    df = df.select("*", F.inline(F.array(F.struct(blocks.alias("_blocks"), cores.alias("_cores"))))).drop("_segments")
     inside = r"(?![\x80-\xBF])"  # what follows begins a character
     skip = rf"^(?:[\s\S]{{3}}{inside}|[\s\S]{{2}}{inside}|[\s\S]{inside})"
     shared = lambda core: F.regexp_replace(F.right(core, F.lit(overlap + 3)), skip, "")
     pieces = F.transform("_cores", lambda c, i: _text(F.translate(F.concat(F.when(i > 0, shared(F.get("_cores", i - 1))).otherwise(""), c), _MARK, "\n")))
-    df = df.withColumn("pieces", F.when(F.col("_over"), pieces).otherwise(F.array(source)))
-    return df.drop("_over", "_cores")
+    return unboxed(df, items, blocks=F.col("_blocks"), pieces=F.when(F.col("_over"), pieces).otherwise(F.array(source)))
 
 
 def pieces_of(split: DataFrame, keys: list[str]) -> DataFrame:
