@@ -78,8 +78,8 @@ versions AS (
          regexp_replace(lower(trim(content_hash)), '^sha-?256[:=]\\s*', '') AS digest
   FROM files WHERE path IS NOT NULL AND indexed_at IS NOT NULL AND trim(content_hash) <> ''),
 cuts AS (
-  SELECT run_id, epoch(started_at)::BIGINT AS cutoff,
-         lag(epoch(started_at)::BIGINT) OVER (ORDER BY started_at) AS earlier
+  SELECT run_id, epoch_us(started_at) // 1000000 AS cutoff,
+         lag(epoch_us(started_at) // 1000000) OVER (ORDER BY started_at) AS earlier
   FROM index_runs WHERE status = 'succeeded'),
 states AS (
   SELECT run_id, path, arg_max(digest, seen) AS now_digest,
