@@ -72,8 +72,8 @@ def resolve_graph(g: Graph) -> DataFrame:
 
 
 def cross_project(refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(ref_id, target_project, target): wikilinks of the form project/name into another project."""
-    parts = F.regexp_extract(F.lower(F.regexp_extract("reference_text", r"^\s*([^|#]*)", 1)), r"^([^/]+)/([^/]+?)(?:\.md)?\s*$", 0)
+    """(ref_id, target_project, target): wikilinks of the form project/name or project/folders/name into another project."""
+    parts = F.regexp_extract(F.lower(F.regexp_extract("reference_text", r"^\s*([^|#]*)", 1)), r"^[^/]+/.*[^/]\s*$", 0)
     links = refs.filter("reference_kind = 'wikilink'").select(F.col("id").alias("ref_id"), "file_path", parts.alias("p")).filter("p <> ''")
     links = links.select("ref_id", F.substring_index("file_path", "/", 1).alias("own"), F.substring_index("p", "/", 1).alias("project"),
                          F.regexp_replace(F.trim(F.substring_index("p", "/", -1)), r"\.md$", "").alias("key"))

@@ -235,7 +235,7 @@ def graph_signals(g: Graph, ids: DataFrame, terms: list[str]) -> DataFrame:
     asked = nodes.join(F.broadcast(ids), "id", "left_semi")  # candidates: at most the cap times the number of collectors
     members = nodes.select(F.col("id").alias("member"), "file_path").join(F.broadcast(asked.filter("kind = 'document'").select("id", "file_path")), "file_path")
     watched = members.select("id", "member").union(asked.filter("kind <> 'document'").select("id", F.col("id").alias("member")))
-    refs = g.edges.filter(F.col("kind").isin(REFERENCES))
+    refs = g.edges.filter(F.col("kind").isin(REFERENCES)).select("source", "target")
     into = refs.join(watched, refs["target"] == watched["member"]).groupBy("id").agg(F.count("*").alias("n_in"))
     out = refs.join(watched, refs["source"] == watched["member"]).groupBy("id").agg(F.count("*").alias("n_out"))
     tags = tag_hits(g, terms).select("id", F.col("n_terms").alias("n_tags"))

@@ -9,7 +9,7 @@ from paperloom.session import read
 from paperloom.tables import GOVERNANCE, RESEARCH, Graph
 
 AS_OF, HUB, QUERY, TAG = "2025-07-15", "handbook/index.md", "retention policy", "security"
-SIMILAR, RATES = 0.8, [("small", 0.02), ("large", 0.13)]
+SIMILAR, RATES = 0.62, [("small", 0.02), ("large", 0.13)]
 QUERIES, ORACLE = {}, {}
 
 ALIVE = """
@@ -318,10 +318,11 @@ def impact_bfs(g):
     return traverse.impact(g, HUB, 2)
 
 
-@query(f"""{_DOC_EDGES}, reach AS (SELECT '{HUB}' AS document, 0 AS hops UNION SELECT de.tgt, r.hops + 1 FROM reach r JOIN de ON de.src = r.document WHERE r.hops < 10)
-SELECT document, min(hops) AS hops FROM reach GROUP BY document""", recursive=True)
+@query(f"""{_DOC_EDGES}, reach AS (SELECT min(src) AS document, 0 AS hops FROM de WHERE src <> tgt UNION SELECT de.tgt, r.hops + 1 FROM reach r JOIN de ON de.src = r.document WHERE r.hops < 10)
+SELECT document, min(hops) AS hops FROM reach WHERE document IS NOT NULL GROUP BY document""", recursive=True)
 def trace_hops(g):
-    return traverse.shortest_paths(g, HUB).select("document", "hops")
+    start = traverse.document_edges(g).filter("src <> tgt").agg(F.min("src")).first()[0] or ""
+    return traverse.shortest_paths(g, start).select("document", "hops")
 
 
 _RESOLVED = r""",
@@ -351,9 +352,9 @@ def resolve_links(g):
 
 
 @query(r""", l AS (SELECT id AS ref_id, split_part(file_path, '/', 1) AS own, lower(regexp_extract(reference_text, '^\s*([^|#]*)', 1)) AS p FROM unresolved_refs WHERE reference_kind = 'wikilink'),
-m AS (SELECT * FROM l WHERE regexp_matches(p, '^[^/]+/[^/]+?(\.md)?\s*$')),
+m AS (SELECT * FROM l WHERE regexp_matches(p, '^[^/]+/.*[^/]\s*$')),
 t AS (SELECT lower(split_part(file_path, '/', 1)) AS project, lower(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.md$', '')) AS key, min(id) AS target FROM docs GROUP BY ALL)
-SELECT ref_id, project AS target_project, target FROM m JOIN t ON t.project = split_part(p, '/', 1) AND t.key = regexp_replace(trim(split_part(p, '/', 2)), '\.md$', '') WHERE lower(own) <> project""")
+SELECT ref_id, project AS target_project, target FROM m JOIN t ON t.project = split_part(p, '/', 1) AND t.key = regexp_replace(trim(split_part(p, '/', -1)), '\.md$', '') WHERE lower(own) <> project""")
 def resolve_cross_project(g):
     return resolve.cross_project(g.table("unresolved_refs"), g.documents("name"))
 
@@ -445,9 +446,9 @@ def search_bm25_sections(g):
     return search.section_hits(g, _REQUEST, _TERMS).select("id", (F.round("rank", 6) + 0.0).alias("rank"))
 
 
-@query(" SELECT id, name FROM alive WHERE contains(lower(concat_ws(chr(10), name, qualified_name, body_excerpt, metadata)), 'q3') ORDER BY name, id LIMIT 160")
+@query(" SELECT id, name FROM alive WHERE contains(lower(concat_ws(chr(10), name, qualified_name, body_excerpt, metadata)), '12') ORDER BY name, id LIMIT 160")
 def search_short(g):
-    return search.short_hits(g, search.Request("Q3")).select("id", "name")
+    return search.short_hits(g, search.Request("12")).select("id", "name")
 
 
 @query(f" SELECT id, kind FROM alive WHERE id = '{HUB}' OR file_path = '{HUB}' OR qualified_name = '{HUB}' OR lower(name) = '{HUB}' ORDER BY id LIMIT 160")
