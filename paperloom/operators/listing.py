@@ -146,3 +146,30 @@ def commit_history(commits: DataFrame) -> DataFrame:
         F.count("*").alias("commit_count"), F.min("ts").alias("first_commit_at"), F.max("ts").alias("last_commit_at"),
         F.countDistinct("author").alias("author_count"), last["author"].alias("last_author"), last["subject"].alias("last_subject"),
     )
+
+
+def pending_embeddings(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Documents (id, digest) without a vector, or whose vector was made from another digest (null: unknown, counts as current)."""
+    have = embeddings.select("id", F.col("digest").alias("_made"), F.lit(True).alias("_has"))
+    rows = documents.join(have, "id", "left")
+    stale = F.col("_made").isNotNull() & (F.col("_made") != F.col("digest"))
+    return rows.filter(F.col("_has").isNull() | stale).select("id", F.col("_has").isNotNull().alias("stale"))
+
+
+def embedding_stats(embeddings: DataFrame, model: str, vector: str) -> DataFrame:
+    """Vectors, dimensions and mean length per model."""
+    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    return embeddings.groupBy(F.col(model).alias("model")).agg(
+        F.count("*").alias("n_vectors"), F.min(F.size(vector)).alias("min_dim"), F.max(F.size(vector)).alias("max_dim"), F.round(F.avg(norm), 6).alias("mean_norm")
+    )
+
+
+def enrichment_stats(g: Graph) -> DataFrame:
+    """Documents of files without front matter: how many there are, have metadata, and have metadata older than their file."""
+    plain = current_files(g).filter(~F.coalesce("has_frontmatter", F.lit(False))).select(F.col("path").alias("file_path"), "indexed_at")
+    docs = g.documents().join(plain, "file_path").select(F.col("id").alias("node_id"), "indexed_at")
+    dated = g.table("governance_metadata").groupBy("node_id").agg(F.max("updated_at").alias("enriched_at"))
+    rows = docs.join(dated, "node_id", "left")
+    return rows.agg(
+        F.count("*").alias("n_eligible"), F.count("enriched_at").alias("n_enriched"), F.count_if(F.col("enriched_at") < F.col("indexed_at")).alias("n_stale")
+    )

@@ -662,3 +662,23 @@ def debounce_sessions(g):
 
     rows = g.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     return debounce(rows, "user_id", "ts", "30 minutes").select("user_id", F.unix_seconds("began").alias("began"), "n_events")
+
+
+@query(""" SELECT doc_id AS id, false AS stale FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def pending_embeddings(g):
+    docs = g.table("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    made = g.table("embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("digest"))
+    return listing.pending_embeddings(docs, made)
+
+
+@query(""" SELECT label AS model, count(*) AS n_vectors, min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim,
+  round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label""")
+def embedding_stats(g):
+    return listing.embedding_stats(g.table("embeddings"), "label", "embedding")
+
+
+@query(f"""{_CURRENT}, d AS (SELECT docs.id, c.seen_at FROM docs JOIN current c ON c.path = docs.file_path WHERE NOT coalesce(has_frontmatter, false)),
+g AS (SELECT node_id, max(updated_at) AS enriched_at FROM governance_metadata GROUP BY node_id)
+SELECT count(*) AS n_eligible, count(enriched_at) AS n_enriched, count(*) FILTER (WHERE enriched_at < seen_at) AS n_stale FROM d LEFT JOIN g ON g.node_id = d.id""")
+def enrichment_stats(g):
+    return listing.enrichment_stats(g)
