@@ -1,9 +1,8 @@
 """Similarity of documents: TF-IDF cosine, shared targets and tags, their weighted sum, and vectors.
 
 The composite score is half the TF-IDF cosine plus 0.3 and 0.2 times the Jaccard similarity of
-reference targets and tags, so a score of ``least`` needs a cosine of (least - 0.5) / 0.5.  Pairs are
-found through the rarest terms only: the most frequent terms of a document, as long as the square sum
-of their weights stays under that cosine, cannot bring a pair over it and are not joined.  Documents
+reference targets and tags, so a score of ``least`` needs a cosine of (least - 0.5) / 0.5;
+see :func:`cosine_pairs` for how such pairs are found without joining very common terms.  Documents
 with equal features are collapsed first; pairs join class representatives, and membership tells the
 copies.  For ``least`` <= 0.5 a pair may qualify without any shared term, so all terms, targets and
 tags are joined.
@@ -75,28 +74,49 @@ def classes(feats: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b with a cosine of at least ``least`` (over 0)."""
+    """(a, b, cosine) of all pairs a < b with a cosine of at least ``least`` (over 0).
+
+    Terms are split at one document frequency into rare and common ones, so that few documents have a
+    common part of length ``least`` or more.  The dot product over rare terms is summed by joining
+    rare postings; what the common parts can add is at most the product of their lengths, and two
+    documents without a shared rare term can only qualify if both have a long common part.  Pairs
+    that pass this bound get their common terms added; a very common term is thus never joined for
+    all of its documents.
+    """
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = weights.join(norms.filter("norm > 0"), "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("w")).filter("w > 0")
     freq = unit.groupBy("term").agg(F.count("*").alias("df"))
     unit = stored(unit.join(freq, "term"), "unit-weights")
-    # common terms last; what follows a term bounds what the rest can still add
-    w = Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("term").desc())
-    upto = F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    prefix = unit.withColumn("upto", upto).filter(F.col("upto") >= F.lit(least * least * 0.999999)).select("id", "term")
-    a, b = prefix.select(F.col("id").alias("a"), "term"), prefix.select(F.col("id").alias("b"), "term")
-    candidates = a.join(b, "term").filter("a < b").select("a", "b").distinct()
-    vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    both = candidates.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).filter(F.round("cosine", 6) >= least)
+    marks = sorted({int(x) for x in unit.approxQuantile("df", [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99], 0.005)})
+    length = lambda m: F.sum(F.when(F.col("df") > m, F.col("w") * F.col("w")).otherwise(0.0))
+    heavy = unit.groupBy("id").agg(*[length(m).alias(f"c{m}") for m in marks]) if marks else None
+    shares = heavy.agg(*[F.avg((F.col(f"c{m}") >= least * least * 0.999999).cast("double")).alias(f"c{m}") for m in marks]).first() if marks else {}
+    split = next((m for m in marks if (shares[f"c{m}"] or 0) <= 0.05), None)
+    is_rare = F.lit(True) if split is None else F.col("df") <= split
+    common = unit.groupBy("id").agg(F.sqrt(F.sum(F.when(is_rare, 0.0).otherwise(F.col("w") * F.col("w")))).alias("c"))
+    posts = stored(unit.withColumn("rare", is_rare).join(common, "id").select("id", "term", "w", "rare", "c"), "postings")
+    meets = lambda p: p.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), F.col("c").alias("ca")).join(
+        p.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("c").alias("cb")), "term"
+    ).filter("a < b")
+    rare = meets(posts.filter("rare")).select("a", "b", "ca", "cb", (F.col("wa") * F.col("wb")).alias("x"))
+    long = meets(posts.filter(~F.col("rare") & (F.col("c") >= least * 0.999999))).select("a", "b", "ca", "cb", F.lit(0.0).alias("x"))
+    sums = rare.unionByName(long).groupBy("a", "b").agg(F.sum("x").alias("s"), F.max("ca").alias("ca"), F.max("cb").alias("cb"))
+    likely = stored(sums.filter(F.col("s") + F.col("ca") * F.col("cb") >= least - 1e-6).select("a", "b", "s"), "likely-pairs")
+    rest = posts.filter(~F.col("rare"))
+    more = likely.select("a", "b").join(rest.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")
+    more = more.join(rest.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("x"))
+    both = likely.join(more, ["a", "b"], "left").select("a", "b", (F.col("s") + F.coalesce("x", F.lit(0.0))).alias("cosine"))
+    return both.filter(F.round("cosine", 6) >= least)
 
 
 def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
     """(source, target, score, tfidf, refs, tags, metadata) of class representatives whose score reaches ``least``."""
+    feats = stored(feats, "document-features")
     member = classes(feats)
-    reps = stored(feats.join(member.filter("id = class_id").select("id"), "id", "left_semi"), "similarity-features")
-    weights = stored(tfidf(feats.select("id", "text")).join(reps.select("id"), "id", "left_semi"), "similarity-weights")
+    reps = feats.join(member.filter("id = class_id").select("id"), "id", "left_semi").withColumnRenamed("id", "name")
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "similarity-features")  # short keys for the pair joins
+    weights = tfidf(feats.select("id", "text")).withColumnRenamed("id", "name").join(reps.select("id", "name"), "name").select("id", "term", "weight")
+    weights = stored(weights, "similarity-weights")
     needed = max((least - 0.5) / 0.5, 0.0)
     scored = cosine_pairs(weights, needed if needed > 0 else 1e-9)
     if needed <= 0:
@@ -104,9 +124,9 @@ def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
             p = reps.select("id", F.explode(items).alias("x"))
             more = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), "x").filter("a < b").select("a", "b").distinct()
             scored = scored.unionByName(more.join(scored, ["a", "b"], "left_anti").withColumn("cosine", F.lit(0.0)))
-    left = reps.select(F.col("id").alias("a"), F.col("targets").alias("ta"), F.col("tags").alias("ga"))
-    right = reps.select(F.col("id").alias("b"), F.col("targets").alias("tb"), F.col("tags").alias("gb"))
-    both = scored.join(left, "a").join(right, "b").select("a", "b", "cosine", jaccard("ta", "tb").alias("refs"), jaccard("ga", "gb").alias("tags"))
+    left = reps.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("targets").alias("ta"), F.col("tags").alias("ga"))
+    right = reps.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("targets").alias("tb"), F.col("tags").alias("gb"))
+    both = scored.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "cosine", jaccard("ta", "tb").alias("refs"), jaccard("ga", "gb").alias("tags"))
     both = both.withColumn("score", 0.5 * F.col("cosine") + 0.3 * F.col("refs") + 0.2 * F.col("tags")).filter(F.round("score", 6) >= least)
     two = lambda c: F.round(F.col(c) * 100) / 100 + 0.0
     rounded = both.select(F.col("a").alias("source"), F.col("b").alias("target"), two("score").alias("score"), two("cosine").alias("tfidf"), two("refs").alias("refs"), two("tags").alias("tags"))
