@@ -42,6 +42,7 @@ LABELS = {
 _ASIDE = re.compile(r"\A\s*---[ \t]*\n[\s\S]*?\n---[ \t]*(?=\n|\Z)|^(```|~~~)[^\n]*(?:\n(?!\1)[^\n]*)*(?:\n\1[^\n]*)?", re.M)
 _NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|`[^`\n]+`|</?[A-Za-z][^<>]*>|&\w+;|\S*\d\S*(?<![぀-ヿ㐀-䶿一-鿿])")
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿]+")
+_MAYBE_NOISE = re.compile(r"[<&`@\d]|www\.|://")
 _EAST = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 
 
@@ -59,7 +60,7 @@ def natural_lines(text: str) -> list[tuple[int, list[str]]]:
     for number, line in enumerate(shown.split("\n"), 1):
         if not line or line.isspace():
             continue
-        words = _WORD.findall(_NOISE.sub(" ", line).lower())
+        words = _WORD.findall((_NOISE.sub(" ", line) if _MAYBE_NOISE.search(line) else line).lower())
         letters = sum(map(len, words))
         visible = len(line) - line.count(" ")
         if letters >= 2 and letters * 5 >= visible * 2 and any(len(w) > 2 or _EAST.match(w) for w in words):
@@ -103,33 +104,51 @@ class Model:
                         matrix[index[x], at[code]] += k
             matrix = np.log(matrix / (total + 0.1 * (len(kept) + 1)))
             self.tables[n] = (index, matrix.astype("float32"))
-        self.seen: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.seen.get(w)
-        if got is None:
-            got = np.zeros(len(self.languages), dtype="float32")
-            index, matrix = self.tables[0]
-            if w in index:
-                got = matrix[index[w]]
-            else:
-                weight = max(1.0, len(w) / 2) if _EAST.match(w) else 1.0
-                for n in GRAMS:
-                    index, matrix = self.tables[n]
-                    rows = [index[g] for g in grams(w, n) if g in index]
-                    if rows:
-                        got = matrix[rows].mean(axis=0) * weight
-                        break
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[w] = got
-        return got
+        # every word met so far has a row: known words their own, others what they fall back to
+        self.rows: dict[str, int] = dict(self.tables[0][0])
+        self.scores = self.tables[0][1]
+        self.used = len(self.rows)
+
+    def row(self, w: str) -> int:
+        """The row of a word that has none yet."""
+        got = np.zeros(len(self.languages), dtype="float32")
+        weight = max(1.0, len(w) / 2) if _EAST.match(w) else 1.0
+        for n in GRAMS:
+            index, matrix = self.tables[n]
+            at = [index[g] for g in grams(w, n) if g in index]
+            if at:
+                got = matrix[at].mean(axis=0) * weight
+                break
+        if self.used >= len(self.scores):
+            more = np.zeros((max(1024, len(self.scores)), len(self.languages)), dtype="float32")
+            self.scores = np.concatenate([self.scores, more])
+        self.scores[self.used] = got
+        self.rows[w] = self.used
+        self.used += 1
+        return self.used - 1
+
+    def lines(self, lines: list[list[str]]) -> list[tuple[int, float]]:
+        """Index of the language of each line and the confidence in it; no line is empty."""
+        out: list[tuple[int, float]] = []
+        for at in range(0, len(lines), 500):
+            part = lines[at : at + 500]
+            if self.used > 200_000:  # between parts only: rows stay valid within one
+                self.rows, self.scores = dict(self.tables[0][0]), self.tables[0][1]
+                self.used = len(self.rows)
+            known, flat = self.rows, []
+            for w in (w for words in part for w in words):
+                i = known.get(w)
+                flat.append(self.row(w) if i is None else i)
+            starts = np.cumsum([0, *map(len, part[:-1])])
+            sums = np.add.reduceat(self.scores[flat].astype("float64"), starts, axis=0)
+            best = sums.argmax(axis=1)
+            top = sums[np.arange(len(part)), best]
+            sure = 1.0 / np.exp(np.clip(sums - top[:, None], -60, 0)).sum(axis=1)
+            out += zip(best.tolist(), sure.tolist())
+        return out
 
     def line(self, words: list[str]) -> tuple[int, float]:
-        """Index of the language and the confidence in it."""
-        score = np.sum([self.word(w) for w in words], axis=0)
-        best = int(score.argmax())
-        return best, float(1.0 / np.exp(np.clip(score - score[best], -60, 0)).sum())
+        return self.lines([words])[0]
 
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCUMENTS) -> Model | None:
@@ -147,15 +166,16 @@ def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str
         return None
     languages = sorted({code for code, _ in lines})
     first = Model(languages, lines)
-    judged = [(first.line(words), words) for _, words in lines]
+    judged = list(zip(first.lines([words for _, words in lines]), (words for _, words in lines)))
     return Model(languages, [(languages[best], words) for (best, sure), words in judged if sure >= SURE])
 
 
 def _document(model: Model, text: str) -> list[tuple]:
     """(first_line, last_line, lang, confidence, n_words) of each segment."""
-    judged = [(n, *model.line(words), len(words)) for n, words in natural_lines(text)]
-    if not judged:
+    found = natural_lines(text)
+    if not found:
         return []
+    judged = [(n, *hit, len(words)) for (n, words), hit in zip(found, model.lines([w for _, w in found]))]
     weight = Counter()
     for _, best, sure, n in judged:
         weight[best] += n * sure
