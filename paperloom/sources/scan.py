@@ -19,7 +19,7 @@ FORMATS: dict[str, tuple[Callable[[str, bytes], Parsed], int]] = {
     "md": (markdown.parse, MB), "docx": (docx.parse, 10 * MB), "html": (html.parse, 5 * MB), "htm": (html.parse, 5 * MB), "pdf": (pdf.parse, 50 * MB),
 }
 #: Folders that are never entered.
-SKIPPED = (".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".vscode", ".cache")
+SKIPPED = ("node_modules", ".git", "target", "dist", "build", ".codegraph", ".paperloom", ".next", ".cache", "vendor", "__pycache__", ".obsidian")
 
 
 def register(extension: str, reader: Callable[[str, bytes], Parsed], most: int = MB) -> None:
@@ -76,7 +76,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = raw.select(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.unix_seconds("modificationTime").alias("modified"), "length",
                       F.when(F.col("length") <= F.try_element_at(most, known), F.col("content")).alias("content"), known.alias("_e"))
     skip = "|".join(re.escape(s) for s in SKIPPED)
-    return rows.filter(F.col("_e").isin(list(FORMATS))).filter(~F.col("path").rlike(rf"(?:^|/)(?:{skip})/|\.claude/worktrees/")).drop("_e")
+    return rows.filter(F.col("_e").isin(list(FORMATS))).filter(~F.col("path").rlike(rf"(?:^|/)(?:{skip})/|(?:^|/)\.[a-z]+/worktrees/")).drop("_e")
 
 
 def without_ignored(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
