@@ -4,8 +4,8 @@ The composite score is half the TF-IDF cosine plus 0.3 and 0.2 times the Jaccard
 reference targets and tags, so a score of ``least`` needs a cosine of (least - 0.5) / 0.5;
 see :func:`cosine_pairs` for how such pairs are found without joining very common terms.  Documents
 with equal features are collapsed first; pairs join class representatives, and membership tells the
-copies.  For ``least`` <= 0.5 a pair may qualify without any shared term, so all terms, targets and
-tags are joined.
+copies.  For ``least`` <= 0.5 a pair may qualify without any shared term, and hot terms and targets
+bring most pairs together anyway, so blocks of documents meet as matrices; see :func:`block_pairs`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,103 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     return both.filter(F.round("cosine", 6) >= least)
 
 
+def _meeting(n_left: int, left: tuple, n_right: int, right: tuple, tile: int) -> Iterator[np.ndarray]:
+    """Dot products of sparse rows, (row, code, value) sorted by row on either side, in tiles of left rows.
+
+    Codes that many right rows hold are multiplied as dense columns, the others by their postings.
+    """
+    (lr, lc, lv), (rr, rc, rv) = left, right
+    codes = int(max(lc.max(initial=-1), rc.max(initial=-1))) + 1
+    held = np.bincount(rc, minlength=codes)
+    hot = np.flatnonzero(held > max(8.0, 0.07 * n_right))
+    place = np.full(codes, -1)
+    place[hot] = np.arange(len(hot))
+    dense = np.zeros((len(hot), n_right))
+    often = place[rc] >= 0
+    dense[place[rc[often]], rr[often]] = rv[often]
+    order = np.argsort(rc, kind="stable")
+    pr, pv, start = rr[order], rv[order], np.cumsum(held) - held
+    for at in range(0, n_left, tile):
+        height = min(tile, n_left - at)
+        a, b = np.searchsorted(lr, [at, at + height])
+        r, c, v = lr[a:b] - at, lc[a:b], lv[a:b]
+        often = place[c] >= 0
+        here = np.zeros((height, len(hot)))
+        here[r[often], place[c[often]]] = v[often]
+        sums = here @ dense
+        rest = ~often & (held[c] > 0)
+        r, c, v = r[rest], c[rest], v[rest]
+        ends = np.cumsum(held[c])
+        for part in np.split(np.arange(len(c)), np.searchsorted(ends, np.arange(2_000_000, ends[-1] if len(ends) else 0, 2_000_000))):
+            times = held[c[part]]
+            at_post = np.repeat(start[c[part]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            cells = np.repeat(r[part] * n_right, times) + pr[at_post]
+            sums += np.bincount(cells, np.repeat(v[part], times) * pv[at_post], height * n_right).reshape(height, n_right)
+        yield sums
+
+
+def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 256) -> DataFrame:
+    """(a, b, cosine, refs, tags, score) of all pairs a < b of rows (id, terms, weights, targets, tags) whose score reaches ``least``.
+
+    Rows are packed into blocks; each block meets each other and itself once, in one task, and gives
+    the exact scores of its pairs.  No posting list is paired between tasks, so a hot term, target or
+    tag costs no more than any other; what is shuffled is each row once per block.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // block), min(8, n // 256))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, own = pa.concat_arrays(t["id"].chunks), t["own"].to_numpy()
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        rank = np.empty(len(own), dtype=np.int64)
+        rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(own))
+        sides = [np.flatnonzero(own == lo), np.flatnonzero(own == hi)]
+
+        def sparse(items: str, values: str | None = None) -> list[tuple]:
+            lists = pa.concat_arrays(t[items].chunks)
+            row = np.repeat(np.arange(len(own)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            code = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            value = pa.concat_arrays(t[values].chunks).flatten().to_numpy(zero_copy_only=False) if values else np.ones(len(row))
+            out = []
+            for side in sides:
+                local = np.full(len(own), -1)
+                local[side] = np.arange(len(side))
+                keep = local[row] >= 0
+                out.append((local[row[keep]], code[keep].astype(np.int64), value[keep]))
+            return out
+
+        left, right = sides
+        words, targets, tags = sparse("terms", "weights"), sparse("targets"), sparse("tags")
+        tiles = [_meeting(len(left), x[0], len(right), x[1], tile) for x in (words, targets, tags)]
+        norms = [np.sqrt(np.bincount(r, v * v, len(side))) for (r, _, v), side in zip(words, sides)]
+        sizes = [[np.bincount(x[k][0], minlength=len(sides[k])) for k in (0, 1)] for x in (targets, tags)]
+        for at, (dot, shared_targets, shared_tags) in zip(range(0, len(left), tile), zip(*tiles)):
+            length = norms[0][at : at + tile, None] * norms[1][None, :]
+            cosine = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
+            jac = []
+            for shared, (of_left, of_right) in zip((shared_targets, shared_tags), sizes):
+                union = of_left[at : at + tile, None] + of_right[None, :] - shared
+                jac.append(np.divide(shared, union, out=np.zeros_like(shared), where=union > 0))
+            score = 0.5 * cosine + 0.3 * jac[0] + 0.2 * jac[1]
+            fits = (score >= least - 5e-7) & (score > 0)
+            if lo == hi:  # a block with itself: each pair once
+                fits &= np.arange(len(right))[None, :] > np.arange(at, at + len(score))[:, None]
+            i, j = np.nonzero(fits)
+            if len(i):
+                a, b = left[at + i], right[j]
+                first = rank[a] < rank[b]
+                pair = [ids.take(pa.array(np.where(first, a, b))), ids.take(pa.array(np.where(first, b, a)))]
+                columns = pair + [pa.array(x[i, j]) for x in (cosine, *jac, score)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "cosine", "refs", "tags", "score"])
+
+    spread = placed.repartition(min(blocks * (blocks + 1) // 2, 400), "lo", "hi")  # a fixed number: many small tasks are wanted
+    return spread.groupBy("lo", "hi").applyInArrow(meet, "a string, b string, cosine double, refs double, tags double, score double")
+
+
 def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
     """(source, target, score, tfidf, refs, tags, metadata) of class representatives whose score reaches ``least``."""
     feats = stored(feats, "document-features")
@@ -117,17 +216,19 @@ def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "similarity-features")  # short keys for the pair joins
     weights = tfidf(feats.select("id", "text")).withColumnRenamed("id", "name").join(reps.select("id", "name"), "name").select("id", "term", "weight")
     weights = stored(weights, "similarity-weights")
-    needed = max((least - 0.5) / 0.5, 0.0)
-    scored = cosine_pairs(weights, needed if needed > 0 else 1e-9)
-    if needed <= 0:
-        for items in ("targets", "tags"):
-            p = reps.select("id", F.explode(items).alias("x"))
-            more = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), "x").filter("a < b").select("a", "b").distinct()
-            scored = scored.unionByName(more.join(scored, ["a", "b"], "left_anti").withColumn("cosine", F.lit(0.0)))
-    left = reps.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("targets").alias("ta"), F.col("tags").alias("ga"))
-    right = reps.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("targets").alias("tb"), F.col("tags").alias("gb"))
-    both = scored.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "cosine", jaccard("ta", "tb").alias("refs"), jaccard("ga", "gb").alias("tags"))
-    both = both.withColumn("score", 0.5 * F.col("cosine") + 0.3 * F.col("refs") + 0.2 * F.col("tags")).filter(F.round("score", 6) >= least)
+    if least > 0.5:
+        scored = cosine_pairs(weights, (least - 0.5) / 0.5)
+        left = reps.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("targets").alias("ta"), F.col("tags").alias("ga"))
+        right = reps.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("targets").alias("tb"), F.col("tags").alias("gb"))
+        both = scored.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "cosine", jaccard("ta", "tb").alias("refs"), jaccard("ga", "gb").alias("tags"))
+        both = both.withColumn("score", 0.5 * F.col("cosine") + 0.3 * F.col("refs") + 0.2 * F.col("tags")).filter(F.round("score", 6) >= least)
+    else:
+        lists = weights.filter("weight > 0").groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("x")).select("id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+        rows = reps.join(lists, "id", "left").select(
+            F.col("name").alias("id"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+            F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), "targets", "tags",
+        )
+        both = block_pairs(stored(rows, "similarity-rows"), least)
     two = lambda c: F.round(F.col(c) * 100) / 100 + 0.0
     rounded = both.select(F.col("a").alias("source"), F.col("b").alias("target"), two("score").alias("score"), two("cosine").alias("tfidf"), two("refs").alias("refs"), two("tags").alias("tags"))
     return rounded.withColumn("metadata", F.to_json(F.struct("refs", "score", "tags", "tfidf")))

@@ -9,7 +9,7 @@ from paperloom.session import read
 from paperloom.tables import GOVERNANCE, RESEARCH, Graph
 
 AS_OF, HUB, QUERY, TAG = "2025-07-15", "handbook/index.md", "retention policy", "security"
-SIMILAR, RATES = 0.8, [("small", 0.02), ("large", 0.13)]
+SIMILAR, RATES = 0.25, [("small", 0.02), ("large", 0.13)]
 QUERIES, ORACLE = {}, {}
 
 ALIVE = """
@@ -387,10 +387,13 @@ def similarity_classes(g):
 @query(f"""{_FEATURES}, rep AS (SELECT f.* FROM feat f JOIN cls USING (id) WHERE class_id = id),
 dot AS (SELECT a.id AS a, b.id AS b, sum(a.weight * b.weight) AS s FROM w a JOIN w b ON a.term = b.term AND a.id < b.id
         WHERE a.id IN (SELECT id FROM rep) AND b.id IN (SELECT id FROM rep) AND a.weight > 0 GROUP BY ALL),
-cs AS (SELECT a, b, s / (x.nrm * y.nrm) AS cosine FROM dot JOIN norm x ON x.id = a JOIN norm y ON y.id = b),
+met AS (SELECT a, b FROM dot
+  UNION SELECT x.id, y.id FROM (SELECT id, unnest(ts) AS t FROM rep) x JOIN (SELECT id, unnest(ts) AS t FROM rep) y ON x.t = y.t AND x.id < y.id
+  UNION SELECT x.id, y.id FROM (SELECT id, unnest(gs) AS t FROM rep) x JOIN (SELECT id, unnest(gs) AS t FROM rep) y ON x.t = y.t AND x.id < y.id),
+cs AS (SELECT a, b, coalesce(s / (x.nrm * y.nrm), 0) AS cosine FROM met LEFT JOIN dot USING (a, b) LEFT JOIN norm x ON x.id = a LEFT JOIN norm y ON y.id = b),
 sc AS (SELECT a, b, cosine, CASE WHEN len(list_distinct(x.ts || y.ts)) > 0 THEN len(list_intersect(x.ts, y.ts)) / len(list_distinct(x.ts || y.ts)) ELSE 0 END AS r,
               CASE WHEN len(list_distinct(x.gs || y.gs)) > 0 THEN len(list_intersect(x.gs, y.gs)) / len(list_distinct(x.gs || y.gs)) ELSE 0 END AS t
-       FROM cs JOIN rep x ON x.id = a JOIN rep y ON y.id = b WHERE round(cosine, 6) >= {(SIMILAR - 0.5) / 0.5})
+       FROM cs JOIN rep x ON x.id = a JOIN rep y ON y.id = b)
 SELECT a AS source, b AS target, round((0.5 * cosine + 0.3 * r + 0.2 * t) * 100) / 100 + 0.0 AS score, round(cosine * 100) / 100 + 0.0 AS tfidf, round(r * 100) / 100 + 0.0 AS refs, round(t * 100) / 100 + 0.0 AS tags
 FROM sc WHERE round(0.5 * cosine + 0.3 * r + 0.2 * t, 6) >= {SIMILAR}""")
 def composite_similarity(g):

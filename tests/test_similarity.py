@@ -75,3 +75,31 @@ def test_nearest_vectors(spark):
         scores = np.round(unit[q] @ unit.T, 4)
         order = [j for j in sorted(range(300), key=lambda j: (-scores[j], j)) if j not in (q, 7)][:5]
         assert [got[q, k + 1][0] for k in range(5)] == order
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_block_pairs_against_brute_force(spark, block):
+    rng = random.Random(block)
+    data = {}
+    for i in range(60):
+        terms = {t: rng.random() for t in ["hot"] * (i % 2) + rng.sample([f"w{k}" for k in range(12)], rng.randrange(0, 5))}
+        norm = math.sqrt(sum(w * w for w in terms.values()))
+        data[f"d{i:02d}"] = ({t: w / norm for t, w in terms.items()}, {"hub"} if i % 3 else {f"t{i % 4}", "hub"} if i % 2 else set(), {rng.choice("xyz")} if i % 4 else set())
+    df = spark.createDataFrame([(i, list(w), list(w.values()), sorted(t), sorted(g)) for i, (w, t, g) in data.items()],
+                               "id string, terms array<string>, weights array<double>, targets array<string>, tags array<string>")
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    want = {}
+    for a, (wa, ta, ga) in data.items():
+        for b, (wb, tb, gb) in data.items():
+            score = 0.5 * sum(w * wb.get(t, 0) for t, w in wa.items()) + 0.3 * jac(ta, tb) + 0.2 * jac(ga, gb)
+            if a < b and score >= 0.25 - 5e-7:
+                want[a, b] = score
+    rows = s.block_pairs(df, 0.25, block, 5).collect()
+    got = {(r.a, r.b): r.score for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_registered_threshold_is_that_of_the_reference():
+    from paperloom.plans import graph_queries
+
+    assert graph_queries.SIMILAR == 0.25
