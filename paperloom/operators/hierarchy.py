@@ -271,3 +271,11 @@ def trees(nodes: DataFrame, governance: DataFrame, with_paths: bool = True) -> D
     columns = ["parent", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", "n_descendants", "on_cycle"]
     named = lambda df, tree: df.select(F.lit(tree).alias("tree"), F.col("node").alias("node_id"), *columns)
     return named(outline, "outline").unionByName(named(chain, "supersession"))
+
+
+def tree_descendants(nodes: DataFrame, governance: DataFrame) -> DataFrame:
+    """(tree, root, node, descendant, distance) of both trees; the outline has the document above its headings."""
+    outline = build_hierarchy(outline_links(nodes), "file_path")
+    chain = build_hierarchy(supersession_links(nodes, governance))
+    named = lambda df, tree: df.select(F.lit(tree).alias("tree"), "root", "node", "descendant", "distance")
+    return named(descendants(outline), "outline").unionByName(named(descendants(chain), "supersession"))

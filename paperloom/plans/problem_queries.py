@@ -42,8 +42,7 @@ def p4_paths(spark, d):
 
 
 def p4_descendants(spark, d):
-    links = hierarchy.supersession_links(read(spark, d, "nodes"), read(spark, d, "governance_metadata"))
-    return hierarchy.descendants(hierarchy.build_hierarchy(links))
+    return hierarchy.tree_descendants(read(spark, d, "nodes"), read(spark, d, "governance_metadata"))
 
 
 def p4_circles(spark, d):

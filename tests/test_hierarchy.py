@@ -101,3 +101,14 @@ def test_supersession_spellings(spark):
     got = {(r.node, r.parent) for r in h.supersession_links(spark.createDataFrame(docs, NODES), df).collect()}
     assert got == {("p/b.md", "p/a.md"), ("p/c.md", "p/b.md"), ("p/e.md", "p/d.md"), ("p/e.md", "p/e.md")}
     assert h.trees(spark.createDataFrame([], NODES), df.limit(0)).count() == 0
+
+
+def test_descendants_of_both_trees(spark):
+    docs = [node(f"p/{x}.md", "document", f"p/{x}.md") for x in "ab"]
+    heads = [node("h1", "heading", "p/a.md", 1, 1), node("h2", "heading", "p/a.md", 5, 2), node("h3", "heading", "p/a.md", 9, 1)]
+    gov = spark.createDataFrame([("p/a.md", None, "b", 1)], "node_id string, supersedes string, superseded_by string, updated_at long")
+    got = {tuple(r) for r in h.tree_descendants(spark.createDataFrame(docs + heads, NODES), gov).collect()}
+    assert got == {
+        ("outline", "p/a.md", "p/a.md", "h1", 1), ("outline", "p/a.md", "p/a.md", "h2", 2), ("outline", "p/a.md", "p/a.md", "h3", 1),
+        ("outline", "p/a.md", "h1", "h2", 1), ("supersession", "p/b.md", "p/b.md", "p/a.md", 1),
+    }
