@@ -204,13 +204,38 @@ def build_hierarchy(
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
-    """(root, node, descendant, distance) for every node above another; from the paths, no join."""
+    """(root, node, descendant, distance) for every node above another; from the paths, no join.
+
+    Nodes on or below a circle have no path; :func:`circle_descendants` lists theirs.
+    """
     pairs = hierarchy.filter("path is not null and depth > 0").select(
         "root", F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "node")
     )
     return pairs.filter("at < depth").select("root", "node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def circle_descendants(hierarchy: DataFrame) -> DataFrame:
+    """(root, node, descendant, distance) of nodes on or below a circle; root is ''.
+
+    Each circle is cut open above its least node, and pointer doubling gives every node the path from
+    there.  The path holds some of the nodes above; the others are the circle's nodes after the point
+    where the path leaves it, and reach the node by way of the cut.  A node is not below itself.
+    """
+    looped = cut(hierarchy.filter("depth = -1").select("component", "node", "parent", "on_cycle"))
+    circles = looped.filter("on_cycle").groupBy("component").agg(F.min("node").alias("node"), F.count("*").alias("length"))
+    most = looped.groupBy("component").count().agg(F.max("count")).first()[0]
+    opened = looped.join(circles.select("node", F.lit(True).alias("_cut")), "node", "left").select("node", F.when(F.col("_cut").isNull(), F.col("parent")).alias("parent"))
+    rounds = math.ceil(math.log2(max(2, most or 0)))
+    paths = _jump(opened, rounds, True).select("node", F.concat("above", F.array("node")).alias("path"))
+    paths = cut(looped.join(paths, "node").select("component", F.col("node").alias("descendant"), "on_cycle", "path", (F.size("path") - 1).alias("at")))
+    on_path = paths.select("descendant", "at", F.posexplode("path").alias("above", "node")).filter("above < at")
+    on_path = on_path.select("node", "descendant", (F.col("at") - F.col("above")).alias("distance"))
+    around = paths.filter("on_cycle").select("component", F.col("descendant").alias("node"), F.col("at").alias("place")).join(circles.select("component", "length"), "component")
+    by_cut = paths.join(around, "component").filter(~F.array_contains("path", F.col("node")))
+    by_cut = by_cut.select("node", "descendant", (F.col("length") - F.col("place") + F.col("at")).alias("distance"))
+    return on_path.unionByName(by_cut).select(F.lit("").alias("root"), "node", "descendant", F.col("distance").cast("long").alias("distance"))
+
+
 def outline_links(nodes: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(node, parent, file_path): each existing heading under the nearest smaller level above it.
 
@@ -276,6 +301,7 @@ def trees(nodes: DataFrame, governance: DataFrame, with_paths: bool = True) -> D
 def tree_descendants(nodes: DataFrame, governance: DataFrame) -> DataFrame:
     """(tree, root, node, descendant, distance) of both trees; the outline has the document above its headings."""
     outline = build_hierarchy(outline_links(nodes), "file_path")
-    chain = build_hierarchy(supersession_links(nodes, governance))
+    chain = cut(build_hierarchy(supersession_links(nodes, governance)))
     named = lambda df, tree: df.select(F.lit(tree).alias("tree"), "root", "node", "descendant", "distance")
-    return named(descendants(outline), "outline").unionByName(named(descendants(chain), "supersession"))
+    below = descendants(chain).unionByName(circle_descendants(chain))
+    return named(descendants(outline), "outline").unionByName(named(below, "supersession"))

@@ -112,3 +112,18 @@ def test_descendants_of_both_trees(spark):
         ("outline", "p/a.md", "p/a.md", "h1", 1), ("outline", "p/a.md", "p/a.md", "h2", 2), ("outline", "p/a.md", "p/a.md", "h3", 1),
         ("outline", "p/a.md", "h1", "h2", 1), ("supersession", "p/b.md", "p/b.md", "p/a.md", 1),
     }
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_descendants_on_and_below_circles(spark, most):
+    links = [("c1", "c2"), ("c2", "c3"), ("c3", "c4"), ("c4", "c1"), ("d", "c2"), ("e", "d"), ("f", "d"), ("g", "c4"), ("s", "s"), ("t", "s"), ("u", "t"), ("q1", "q2"), ("q2", "q1"), ("x", "y")]
+    parent, want = {**dict(links), "y": None}, {}
+    for n in parent:
+        for steps, above in enumerate(_ups(parent, n), 1):
+            if above != n and n not in ("x", "y"):
+                want[above, n] = steps
+    made = h.build_hierarchy(spark.createDataFrame(links, "node string, parent string"), max_component=most)
+    rows = h.circle_descendants(made).collect()
+    assert {(r.node, r.descendant): r.distance for r in rows} == want and len(rows) == len(want)
+    counted = {r.node: r.n_descendants for r in made.filter("depth = -1").collect()}
+    assert counted == {n: sum(a == n for a, _ in want) for n in counted}
