@@ -38,6 +38,16 @@ def p3_pieces(spark, d):
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def p3_restored(spark, d):
+    """Per field: items, those cut, bytes of all pieces without what they share, items not given back or with a piece over the limit."""
+    parts = [splitting.put_together(split, "item", limit) for split, limit in _split(spark, d, True)]
+    rows = reduce(DataFrame.unionByName, [p.select("field", "n_pieces", "n_bytes", "restored", "within") for p in parts])
+    return rows.groupBy("field").agg(
+        F.count("*").alias("n_items"), F.count_if(F.col("n_pieces") > 1).alias("n_cut"), F.sum("n_bytes").alias("n_bytes"),
+        F.count_if(~F.col("restored")).alias("n_not_restored"), F.count_if(~F.col("within")).alias("n_over_limit"),
+    )
+
+
 def _marked_up(spark, d):
     sections = read(spark, d, "section_chunks").select(F.lit("text").alias("field"), "node_id", F.col("text").alias("item"))
     nodes = existing_nodes(read(spark, d, "nodes").filter("id is not null"), ["body_excerpt"])
@@ -137,7 +147,7 @@ def p10_languages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_pieces, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
+        p3_found, p3_pieces, p3_restored, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
         p9_shares, p10_found, p10_segments, p10_languages,
     )
 }
@@ -159,7 +169,40 @@ dfs AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tfs GROUP BY ter
 n AS (SELECT count(DISTINCT node_id)::DOUBLE AS n FROM words)
 """.replace("\\", "\\")
 
+_ITEMS = f"""
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM nodes WHERE id IS NOT NULL),
+alive AS (
+  SELECT * FROM ranked WHERE rn = 1 AND coalesce(CASE WHEN json_valid(metadata)
+    THEN json_extract_string(metadata, '$.deleted') END, '') <> 'true'),
+every_item AS (
+  SELECT 'text' AS field, node_id, text AS item, {TEXT_LIMIT} AS most FROM section_chunks
+  UNION ALL SELECT 'body_excerpt', id, body_excerpt, {EXCERPT_LIMIT} FROM alive),
+filled AS (SELECT * FROM every_item WHERE regexp_replace(item, '[\\s\\pZ]', '', 'g') <> '')"""
+
+#: Lines of long items one after the other: an open fence is carried until a line with its marks closes it.
+_BLOCKS = f"""{_ITEMS},
+over AS (SELECT DISTINCT field, node_id, item, most FROM filled WHERE strlen(item) > most),
+numbered AS (SELECT row_number() OVER () AS k, * FROM over),
+lines AS MATERIALIZED (SELECT k, unnest(string_split(item, chr(10))) AS line, generate_subscripts(string_split(item, chr(10)), 1) AS i FROM numbered),
+fences AS (
+  SELECT k, 0::BIGINT AS i, '' AS fence, false AS inside FROM numbered
+  UNION ALL
+  SELECT l.k, l.i, CASE WHEN f.fence = '' AND l.line[:3] IN ('```', '~~~') THEN l.line[:3] WHEN f.fence <> '' AND l.line[:3] = f.fence THEN '' ELSE f.fence END, f.fence <> ''
+  FROM fences f JOIN lines l ON l.k = f.k AND l.i = f.i + 1),
+kept AS (
+  SELECT k, i, line, inside, regexp_replace(line, '[\\s\\pZ]', '', 'g') = '' AS blank FROM fences JOIN lines USING (k, i)),
+starts AS (
+  SELECT *, CASE WHEN inside OR NOT blank THEN coalesce(lag(blank AND NOT inside) OVER (PARTITION BY k ORDER BY i), true)::INTEGER ELSE 0 END AS fresh FROM kept),
+blocks AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS block_no, max(i) FILTER (WHERE NOT blank) OVER (PARTITION BY k) AS last FROM starts),
+sized AS (SELECT k, block_no, sum(strlen(line) + 1) - 1 AS bytes FROM blocks WHERE (inside OR NOT blank) AND i <= last GROUP BY ALL)"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": f"""WITH RECURSIVE {_BLOCKS}
+SELECT field, node_id, 0::INTEGER AS block_no FROM over
+UNION SELECT field, node_id, block_no::INTEGER FROM numbered JOIN sized USING (k) WHERE bytes > most""",
+    "p3_restored": f"""WITH {_ITEMS} SELECT field, count(*) AS n_items, count(*) FILTER (WHERE strlen(item) > most) AS n_cut,
+  sum(strlen(item))::BIGINT AS n_bytes, 0::BIGINT AS n_not_restored, 0::BIGINT AS n_over_limit FROM filled GROUP BY field""",
     "p7_found": f"WITH {_TERMS} SELECT node_id, term FROM tfs JOIN dfs USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 5",
     "p7_scores": f"""WITH {_TERMS}
 SELECT node_id, term, tf::INTEGER AS tf, df, cf,

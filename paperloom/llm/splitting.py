@@ -28,22 +28,25 @@ _FENCE = "(?:" + "|".join(rf"{m}[^\n]*+(?:\n(?!{m})[^\n]*+)*+(?:\n{m}[^\n]*+)?+"
 _LINE = r"(?:(?!```|~~~)[^\S\n]*+[^\s][^\n]*+)"
 _BLOCK = rf"(?:{_FENCE}|{_LINE})(?:\n(?:{_FENCE}|{_LINE}))*+"
 SEGMENT = rf"(?U){_BLOCK}(?:\n(?:[^\S\n]*+\n)*+)?+|[^\S\n]*+\n|[^\S\n]++|[\s\S]"
-_AFTER_BLOCK = r"(?U)\n(?:[^\S\n]*+\n)*+[^\S\n]*+$"
+_AFTER_BLOCK = r"(?U)\n(?:[^\S\n]*+\n)*+[^\S\n]*+\z"
 #: Stands for the line break before a new block while pieces are cut; outside the byte range.
 _MARK = "Ā"
 
 
 def core_pattern(most: int, least: int) -> str:
-    """Alternatives by boundary strength, each of ``least`` to ``most`` bytes, a quarter full at first."""
+    """Alternatives by boundary strength, each of ``least`` to ``most`` bytes, a quarter full at first.
+
+    The end of the item is ``\\z``: in this layout byte 0x85 counts as a line end, before which ``$`` would match.
+    """
     some = max(least, most // 4)
     ends = [
         rf"(?<={_MARK})",
         rf"(?<=[\n{_MARK}])",
-        r"(?:(?<=[.!?…][ \t])|(?<=\xE3\x80\x82)|(?<=\xEF\xBC[\x81\x9F]))",
+        r"(?:(?<=[.!?][ \t])|(?<=\xE2\x80\xA6[ \t])|(?<=\xE3\x80\x82)|(?<=\xEF\xBC[\x81\x9F]))",
         r"(?<=[ \t])",
     ]
     tries = [rf"[\s\S]{{{some},{most}}}{end}" for end in ends[:3]] + [rf"[\s\S]{{{least},{most}}}{end}" for end in ends]
-    return "(?:" + "|".join([rf"[\s\S]{{1,{most}}}$", *tries, rf"[\s\S]{{1,{most}}}(?![\x80-\xBF])", r"[\s\S]"]) + ")"
+    return "(?:" + "|".join([rf"[\s\S]{{1,{most}}}\z", *tries, rf"[\s\S]{{1,{most}}}(?![\x80-\xBF])", r"[\s\S]"]) + ")"
 
 
 def _bytes(c: F.Column) -> F.Column:
@@ -55,7 +58,8 @@ def _text(c: F.Column) -> F.Column:
 
 
 def split_items(items: DataFrame, text: str, limit: int, overlap: int) -> DataFrame:
-    """Adds to each item: blocks (sizes in bytes, in order) and pieces (array of texts).
+    """Adds to each item: blocks (sizes in bytes, in order), pieces (array of texts) and shared (bytes of
+    each piece that the piece before it holds as well).
 
     ``blocks`` is null for items within the limit, whose only piece is the item itself.
     """
@@ -76,16 +80,26 @@ def split_items(items: DataFrame, text: str, limit: int, overlap: int) -> DataFr
     skip = rf"^(?:[\s\S]{{3}}{inside}|[\s\S]{{2}}{inside}|[\s\S]{inside})"
     shared = lambda core: F.regexp_replace(F.right(core, F.lit(overlap + 3)), skip, "")
     pieces = F.transform("_cores", lambda c, i: _text(F.translate(F.concat(F.when(i > 0, shared(F.get("_cores", i - 1))).otherwise(""), c), _MARK, "\n")))
-    return unboxed(df, items, blocks=F.col("_blocks"), pieces=F.when(F.col("_over"), pieces).otherwise(F.array(source)))
+    sizes = F.transform("_cores", lambda c, i: F.when(i > 0, F.length(shared(F.get("_cores", i - 1)))).otherwise(0))  # a character is a byte here
+    uncut = ~F.col("_over")
+    return unboxed(df, items, blocks=F.col("_blocks"), pieces=F.when(uncut, F.array(source)).otherwise(pieces), shared=F.when(uncut, F.array(F.lit(0))).otherwise(sizes))
 
 
 def pieces_of(split: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per piece, numbered from 1."""
-    return split.select(*keys, F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("_p", "piece")).select(
-        *keys, (F.col("_p") + 1).alias("piece_no"), "n_pieces", F.octet_length("piece").alias("n_bytes"), "piece"
+    """One row per piece, numbered from 1; ``n_shared`` of its ``n_bytes`` stand in the piece before it as well."""
+    return split.select(*keys, F.size("pieces").alias("n_pieces"), F.posexplode(F.arrays_zip("pieces", "shared")).alias("_p", "_x")).select(
+        *keys, (F.col("_p") + 1).alias("piece_no"), "n_pieces", F.octet_length("_x.pieces").alias("n_bytes"), F.col("_x.shared").alias("n_shared"), F.col("_x.pieces").alias("piece")
     )
 
 
+def put_together(split: DataFrame, text: str, limit: int) -> DataFrame:
+    """Checks the pieces of each item: n_pieces, n_bytes (without what is shared), restored (the pieces
+    without their shared beginnings give the item back), within (no piece is over the limit)."""
+    whole = _text(F.array_join(F.transform("pieces", lambda p, i: F.substr(_bytes(p), F.get("shared", i) + 1, F.octet_length(p))), ""))
+    longest = F.array_max(F.transform("pieces", lambda p: F.octet_length(p)))
+    return split.select("*", F.size("pieces").alias("n_pieces"), F.octet_length(whole).alias("n_bytes"), (whole == F.col(text)).alias("restored"), (longest <= limit).alias("within"))
+
+
 def oversized(split: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """block_no 0 for each item that was cut and the number of each of its blocks over the limit."""
     numbers = F.filter(F.transform("blocks", lambda n, i: F.when(n > limit, i + 1).cast("int")), lambda x: x.isNotNull())

@@ -60,6 +60,21 @@ def test_pieces_give_the_item_back(spark):
     assert s.pieces_of(split, ["i"]).count() == sum(len(r.pieces) for r in got.values())
 
 
+def test_last_characters_of_every_ending(spark):
+    """Items one byte over the core, whose last byte is each of 0x80 to 0xBF (0x85 is a line end to a regular expression)."""
+    last = [chr(0xC0 + k) if k < 64 else chr(0x3000 + k) for k in range(96)]
+    rows = [(i, "a" * n + c) for i, c in enumerate(last) for n in (266, 267, 532, 533, 534, 535)]
+    items = spark.createDataFrame(rows, "i int, item string")
+    checked = s.put_together(s.split_items(items, "item", 300, 30), "item", 300).collect()
+    assert len(checked) == len(rows) and all(r.restored and r.within for r in checked)
+
+
+def test_sentences_end_with_an_ellipsis(spark):
+    text = "one two three four five six seven eight… " * 20
+    pieces = s.split_items(spark.createDataFrame([(text,)], "t string"), "t", 300, 30).first().pieces
+    assert all(p.endswith("… ") for p in pieces)
+
+
 def test_cut_at_blocks_not_in_code(spark):
     code = "```\n" + "code line\n\n" * 15 + "```"
     text = "first block. " * 8 + "\n\n" + code + "\n\n" + "last block. " * 8
