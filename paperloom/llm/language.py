@@ -6,8 +6,9 @@ takes the mean log frequency of the first length at which any gram is known.  Ru
 treated as unseen words, so their grams decide.  A line gets the language with the greatest sum and a
 confidence, its posterior share; neighbouring lines of one language form a segment.
 
-The frequencies are fitted on a bounded sample: per label at most ``SAMPLE_DOCUMENTS`` documents of at
-most ``SAMPLE_LENGTH`` characters, the ones with the least hash.  Labels are noisy, so a second fit
+The frequencies are fitted on a bounded sample: per label at most ``SAMPLE_DOCUMENTS`` documents, the
+ones with the least hash, and of each its first ``SAMPLE_LENGTH`` characters; words and grams that the
+sample holds fewer than ``LEAST_COUNT`` times are treated as unseen.  Labels are noisy, so a second fit
 uses the languages that the first one gave to the sampled lines.  Every line of every document is
 then classified with the model, whose size the sample bounds.
 
@@ -23,14 +24,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCUMENTS, SAMPLE_LENGTH = 400, 20_000
+SAMPLE_DOCUMENTS, SAMPLE_LENGTH, LEAST_COUNT = 400, 20_000, 3
 SURE, GRAMS = 0.9, (5, 4, 3, 2, 1)
+KEPT_TOKENS, PART_TOKENS = 200_000, 50_000  # scored tokens a worker keeps, tokens scored at a time
 
 #: Names and codes of the languages, as labels write them.
 LABELS = {
@@ -40,9 +43,10 @@ LABELS = {
 }
 
 _ASIDE = re.compile(r"\A\s*---[ \t]*\n[\s\S]*?\n---[ \t]*(?=\n|\Z)|^(```|~~~)[^\n]*(?:\n(?!\1)[^\n]*)*(?:\n\1[^\n]*)?", re.M)
-_NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|`[^`\n]+`|</?[A-Za-z][^<>]*>|&\w+;|\S*\d\S*(?<![぀-ヿ㐀-䶿一-鿿])")
+#: What is no language: spans that may hold spaces, and what can be seen in one token.
+_SPANS = re.compile(r"`[^`\n]+`|</?[A-Za-z][^<>]*>")
+_NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|&\w+;|\S*\d\S*(?<![぀-ヿ㐀-䶿一-鿿])")
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿]+")
-_MAYBE_NOISE = re.compile(r"[<&`@\d]|www\.|://")
 _EAST = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 
 
@@ -53,21 +57,44 @@ def label_code(label: str) -> F.Column:
     return F.try_element_at(known, first)
 
 
+@lru_cache(maxsize=1 << 16)
+def token_words(token: str) -> tuple[str, ...]:
+    """The words of a lower-cased run of visible characters."""
+    return tuple(_WORD.findall(_NOISE.sub(" ", token)))
+
+
+def token_lines(text: str) -> list[tuple[int, int, list[str]]]:
+    """(line number, visible characters, lower-cased tokens) of the lines outside of front matter and fenced code."""
+    if "```" in text or "~~~" in text or text.lstrip().startswith("---"):
+        text = _ASIDE.sub(lambda m: "\n" * m[0].count("\n"), text)
+    out = []
+    for number, line in enumerate(text.split("\n"), 1):
+        shown = _SPANS.sub(" ", line) if "`" in line or "<" in line else line
+        tokens = shown.lower().split()
+        if tokens:
+            out.append((number, len(line) - line.count(" "), tokens))
+    return out
+
+
+def is_natural(letters, visible, has_word):
+    """Whether a line holds natural language: enough of what is visible are letters, and one word is more than an initial."""
+    return (letters >= 2) & (letters * 5 >= visible * 2) & has_word
+
+
 def natural_lines(text: str) -> list[tuple[int, list[str]]]:
     """(line number, lower-cased words) of the lines that hold natural language."""
     out = []
-    shown = _ASIDE.sub(lambda m: "\n" * m[0].count("\n"), text)
-    for number, line in enumerate(shown.split("\n"), 1):
-        if not line or line.isspace():
-            continue
-        words = _WORD.findall((_NOISE.sub(" ", line) if _MAYBE_NOISE.search(line) else line).lower())
-        letters = sum(map(len, words))
-        visible = len(line) - line.count(" ")
-        if letters >= 2 and letters * 5 >= visible * 2 and any(len(w) > 2 or _EAST.match(w) for w in words):
+    for number, visible, tokens in token_lines(text):
+        words = [w for t in tokens for w in token_words(t)]
+        if is_natural(sum(map(len, words)), visible, any(map(_telling, words))):
             out.append((number, words))
     return out
 
 
+def _telling(word: str) -> bool:
+    return len(word) > 2 or bool(_EAST.match(word))
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"_{word}_" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -95,7 +122,7 @@ class Model:
             whole = Counter()
             for c in counts.values():
                 whole.update(c)
-            kept = [x for x, c in whole.items() if c >= 3]
+            kept = [x for x, c in whole.items() if c >= LEAST_COUNT]
             matrix = np.full((len(kept), len(languages)), 0.1)
             index = {x: i for i, x in enumerate(kept)}
             for code, c in counts.items():
@@ -104,59 +131,67 @@ class Model:
                         matrix[index[x], at[code]] += k
             matrix = np.log(matrix / (total + 0.1 * (len(kept) + 1)))
             self.tables[n] = (index, matrix.astype("float32"))
-        # every word met so far has a row: known words their own, others what they fall back to
-        self.rows: dict[str, int] = dict(self.tables[0][0])
-        self.scores = self.tables[0][1]
-        self.used = len(self.rows)
-
-    def row(self, w: str) -> int:
-        """The row of a word that has none yet."""
-        got = np.zeros(len(self.languages), dtype="float32")
-        weight = max(1.0, len(w) / 2) if _EAST.match(w) else 1.0
+        self._seen = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_seen": None}
+
+    def word(self, w: str) -> np.ndarray:
+        """Log frequencies of a word: its own, or the mean of its longest grams of which any is known."""
+        index, matrix = self.tables[0]
+        if w in index:
+            return matrix[index[w]]
         for n in GRAMS:
             index, matrix = self.tables[n]
             at = [index[g] for g in grams(w, n) if g in index]
             if at:
-                got = matrix[at].mean(axis=0) * weight
-                break
-        if self.used >= len(self.scores):
-            more = np.zeros((max(1024, len(self.scores)), len(self.languages)), dtype="float32")
-            self.scores = np.concatenate([self.scores, more])
-        self.scores[self.used] = got
-        self.rows[w] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def lines(self, lines: list[list[str]]) -> list[tuple[int, float]]:
-        """Index of the language of each line and the confidence in it; no line is empty."""
-        out: list[tuple[int, float]] = []
-        for at in range(0, len(lines), 500):
-            part = lines[at : at + 500]
-            if self.used > 200_000:  # between parts only: rows stay valid within one
-                self.rows, self.scores = dict(self.tables[0][0]), self.tables[0][1]
-                self.used = len(self.rows)
-            known, flat = self.rows, []
-            for w in (w for words in part for w in words):
-                i = known.get(w)
-                flat.append(self.row(w) if i is None else i)
-            starts = np.cumsum([0, *map(len, part[:-1])])
-            sums = np.add.reduceat(self.scores[flat].astype("float64"), starts, axis=0)
-            best = sums.argmax(axis=1)
-            top = sums[np.arange(len(part)), best]
-            sure = 1.0 / np.exp(np.clip(sums - top[:, None], -60, 0)).sum(axis=1)
-            out += zip(best.tolist(), sure.tolist())
-        return out
-
-    def line(self, words: list[str]) -> tuple[int, float]:
-        return self.lines([words])[0]
+                return matrix[at].mean(axis=0) * (max(1.0, len(w) / 2) if _EAST.match(w) else 1.0)
+        return np.zeros(len(self.languages), dtype="float32")
+
+    def tokens(self) -> Tokens:
+        """The scored tokens so far, forgotten when they are many."""
+        if self._seen is None or len(self._seen) > KEPT_TOKENS:
+            self._seen = Tokens(self)
+        return self._seen
+
+    def lines(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the language of each line of words and the confidence in it; no line is empty."""
+        scores = np.array([np.sum([self.word(w) for w in words], axis=0, dtype="float64") for words in lines])
+        return _best(scores)
+
+
+def _best(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    best = sums.argmax(axis=1)
+    top = sums[np.arange(len(sums)), best]
+    return best, 1.0 / np.exp(np.clip(sums - top[:, None], -60, 0)).sum(axis=1)
+
+
+class Tokens(dict):
+    """Token -> row of ``table``: words, letters, whether a word tells a language, then the sum of its words' log frequencies."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.table = np.zeros((1024, 3 + len(model.languages)))
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        words = token_words(token)
+        if words:
+            self.table[at, :3] = len(words), sum(map(len, words)), any(map(_telling, words))
+            self.table[at, 3:] = np.sum([self.model.word(w) for w in words], axis=0, dtype="float64")
+        self[token] = at
+        return at
 
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCUMENTS) -> Model | None:
     """The model, fitted twice on a bounded sample of labelled documents (which comes to the driver)."""
-    labelled = documents.select(label_code(label).alias("code"), F.col(text).alias("text"), F.col(key).alias("k"))
-    labelled = labelled.filter((F.length("text") <= SAMPLE_LENGTH) & F.col("code").isNotNull())
+    labelled = documents.select(label_code(label).alias("code"), F.substring(text, 1, SAMPLE_LENGTH).alias("text"), F.col(key).alias("k"))
+    labelled = labelled.filter("code is not null and text is not null")
     # a row per language: how many documents there are, hence below which hash enough of them lie
-    counts = documents.select(label_code(label).alias("code")).filter("code is not null").groupBy("code").agg(F.count("*").alias("n_docs"))
+    counts = documents.filter(F.col(text).isNotNull()).select(label_code(label).alias("code")).filter("code is not null").groupBy("code").agg(F.count("*").alias("n_docs"))
     labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 1)).join(F.broadcast(counts), "code")
     labelled = labelled.filter(F.col("h") / F.lit(2.0**63) <= F.lit(4.0 * sample) / F.col("n_docs"))
     w = Window.partitionBy("code").orderBy("h", "k")
@@ -165,21 +200,47 @@ def fit(documents: DataFrame, text: str = "text", label: str = "lang", key: str
     if not lines:
         return None
     languages = sorted({code for code, _ in lines})
-    first = Model(languages, lines)
-    judged = list(zip(first.lines([words for _, words in lines]), (words for _, words in lines)))
-    return Model(languages, [(languages[best], words) for (best, sure), words in judged if sure >= SURE])
+    best, sure = Model(languages, lines).lines([words for _, words in lines])
+    return Model(languages, [(languages[b], words) for b, s, (_, words) in zip(best, sure, lines) if s >= SURE])
+
+
+def judged_lines(model: Model, texts: list[str]) -> list[list[tuple[int, int, float, int]]]:
+    """Per text (line number, language, confidence, words) of its natural lines; the lines of many texts are scored together."""
+    out: list[list[tuple]] = [[] for _ in texts]
+    where, flat, starts = [], [], []
+
+    def score() -> None:
+        seen = model.tokens()
+        at = list(map(seen.__getitem__, flat))
+        sums = np.add.reduceat(seen.table[at], starts, axis=0)
+        words, letters, telling = sums[:, 0].astype(int), sums[:, 1], sums[:, 2] > 0
+        best, sure = _best(sums[:, 3:])
+        natural = is_natural(letters, np.array([v for _, _, v in where]), telling)
+        for ok, (k, number, _), b, s, n in zip(natural.tolist(), where, best.tolist(), sure.tolist(), words.tolist()):
+            if ok:
+                out[k].append((number, b, s, n))
+        where.clear(), flat.clear(), starts.clear()
+
+    for k, text in enumerate(texts):
+        for number, visible, tokens in token_lines(text):
+            where.append((k, number, visible))
+            starts.append(len(flat))
+            flat += tokens
+            if len(flat) >= PART_TOKENS:
+                score()
+    if flat:
+        score()
+    return out
 
 
-def _document(model: Model, text: str) -> list[tuple]:
-    """(first_line, last_line, lang, confidence, n_words) of each segment."""
-    found = natural_lines(text)
-    if not found:
+def joined(model: Model, judged: list[tuple[int, int, float, int]]) -> list[tuple]:
+    """(first_line, last_line, lang, confidence, n_words) of each segment of one text."""
+    if not judged:
         return []
-    judged = [(n, *hit, len(words)) for (n, words), hit in zip(found, model.lines([w for _, w in found]))]
-    weight = Counter()
+    weight: dict[int, float] = {}
     for _, best, sure, n in judged:
-        weight[best] += n * sure
-    main = weight.most_common(1)[0][0]
+        weight[best] = weight.get(best, 0.0) + n * sure
+    main = max(weight, key=weight.get)
     out: list[list] = []
     for n, best, sure, words in judged:
         language = best if sure >= SURE else main
@@ -202,9 +263,10 @@ def segments(documents: DataFrame, model: Model | None, key: str = "doc_id", tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
             rows = []
-            for k, code, t in zip(batch["_key"], batch["label"], batch["_text"]):
-                rows += [(k, code, i, *s) for i, s in enumerate(_document(shared.value, t), 1)] if isinstance(t, str) else []
+            for k, code, lines in zip(batch["_key"], batch["label"], judged_lines(shared.value, texts)):
+                rows += [(k, code, i, *s) for i, s in enumerate(joined(shared.value, lines), 1)]
             yield pd.DataFrame(rows, columns=names)
 
     return slim.mapInPandas(run, schema)

@@ -63,6 +63,16 @@ def test_labels_and_mixed_documents(spark, corpus):
     assert abs(sum(r.share for r in lang.documents_languages(found).filter("doc_id = 2").collect()) - 1) < 1e-9
 
 
+def test_long_documents_teach_their_language(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(sentence(rng, "de") for _ in range(320)), "de") for i in range(5)]
+    rows += [(i, "\n".join(sentence(rng, "en") for _ in range(4)), "en") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert min(len(t) for _, t, code in rows if code == "de") > lang.SAMPLE_LENGTH
+    model = lang.fit(docs)
+    assert model.languages == ["de", "en"] and lang.wrong_labels(lang.segments(docs, model)).count() == 0
+
+
 def test_no_labels_and_empty(spark, corpus):
     docs, _ = corpus
     assert lang.fit(docs.filter("lang = '??'")) is None
@@ -73,4 +83,16 @@ def test_no_labels_and_empty(spark, corpus):
 def test_unseen_words_fall_back_to_grams(corpus):
     docs, _ = corpus
     model = lang.fit(docs)
-    assert model.languages[model.line(["prüfungsbericht", "unterschriebenen"])[0]] == "de"
+    assert model.languages[model.lines([["prüfungsbericht", "unterschriebenen"]])[0][0]] == "de"
+
+
+def test_batches_give_what_single_lines_give(corpus):
+    docs, _ = corpus
+    model = lang.fit(docs)
+    texts = [r.text or "" for r in docs.collect()] + ["see <a href='x y'>https://x.example/a</a> `not this` but the plan (v2) is checked", "\n\n", "5"]
+    for text, judged in zip(texts, lang.judged_lines(model, texts)):
+        lines = lang.natural_lines(text)
+        assert [n for n, *_ in judged] == [n for n, _ in lines] and [n for *_, n in judged] == [len(w) for _, w in lines]
+        if lines:
+            best, sure = model.lines([w for _, w in lines])
+            assert [b for _, b, _, _ in judged] == best.tolist() and all(abs(s - x) < 1e-6 for (_, _, s, _), x in zip(judged, sure))
