@@ -2,51 +2,71 @@
 
 A text is taken as a flat row of blocks.  Every block gets its word count, its link density, those of
 its neighbours and a few marks of its own; a decision tree trained on the small labelled table below
-tells what the block is (plain prose, prose with markup, heading, list, code, formula, table, quote
-or link list).  The tree is turned into one CASE expression, so classifying takes no Python.
+tells what the block is (plain prose, prose with markup, heading, list, code, formula, table, quote or
+one of a run of navigation links).  A single link between long paragraphs is prose, the same link
+beside other links or short lines is navigation: only the neighbours tell.  The tree is turned into one
+CASE expression, so classifying takes no Python.
 
 * :func:`find_residue` names the markup families in the blocks that the tree does not call plain; an
   exact pattern per family decides.
-* :func:`clean` turns HTML, wiki and LaTeX markup into plain Markdown structure: ``#`` headings,
-  ``-`` lists, fenced code and ``$`` formulas stay apart from the prose; code is never touched.
+* :func:`clean` rewrites the texts that have other blocks than plain ones to plain Markdown structure:
+  ``#`` headings, ``-`` lists, ``|`` tables, fenced code and ``$`` formulas stay apart from the prose;
+  navigation becomes a list, rows of a table that its blocks tore apart become rows, code is never
+  touched.  See :mod:`paperloom.llm.rewriting` for marks that are nested or never closed.
+
+The plain class takes blocks without any mark only: word counts and link densities alone cannot tell
+whether a paragraph holds one entity or one pair of stars, so they decide between the other classes.
 
 Defined results: null and blank texts have no blocks, no residue and stay null or blank; repeated
-rows give repeated rows; an unclosed fence runs to the end of its text.
+rows give repeated rows; an unclosed fence runs to the end of its text; blank lines before the first
+block are dropped.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from paperloom.llm.rewriting import rewrite, tidy, wiki_rows
 from paperloom.llm.splitting import SEGMENT
 from paperloom.session import boxed, own, unboxed
 
 FENCE = "|".join(rf"^{m}[^\n]*+(?:\n(?!{m})[^\n]*+)*+(?:\n{m}[^\n]*+)?+" for m in ("```", "~~~"))
 CODE = rf"(?md)(?:{FENCE})|(`+)(?!`)[^\n]*?(?<!`)\1(?!`)"
 
-#: One pattern per family; a construct belongs to one family only.
+#: One pattern per family; a construct belongs to one family only.  No part can try the
+#: rest of a line or text from every place in it again: what repeats stops at the next opening mark.
 FAMILIES = {
-    "html": r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!--|<!DOCTYPE|<\?xml|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});",
+    "html": r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*+)?/?>|<!--|<!DOCTYPE|<\?xml|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});",
     "wiki": (
-        r"''(?=[^'\s])(?:(?!'')[^\n])+''|\{\{[^{}]+\}\}|\[\[[^\[\]\n]+\]\]|\[(?:https?|ftp)://[^\s\]]+(?: [^\]\n]*)?\](?!\()"
-        r"|^[ \t]*(={1,6})(?!=)[ \t]*[^=\s](?:[^\n]*[^=\s])?[ \t]*\1[ \t]*$|^[ \t]*\{\|"
+        r"''(?=[^'\s])(?:[^'\n]|'(?!'))++''|\{\{[^{}]++\}\}|\[\[[^\[\]\n]++\]\]|\[(?:https?|ftp)://[^\s\]]++(?: [^\]\n]*+)?\](?!\()"
+        r"|^[ \t]*+(={1,6})(?!=)[ \t]*+[^=\s](?:[^\n]*[^=\s])?[ \t]*+\1[ \t]*$|^[ \t]*+\{\|"
     ),
     "latex": (
-        r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|(?:^|(?<=[\s({$~]))\\[A-Za-z]+(?![\\A-Za-z])|\\\((?:(?!\\\))[\s\S])+\\\)"
-        r"|\\\[(?:(?!\\\])[\s\S])+\\\]|\$\$[^$]+\$\$|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n]*[^\s$\\])?\$(?![\d$])"
+        r"\\[A-Za-z]++\*?(?:\[[^\]\n]*+\])?\{|(?:^|(?<=[\s({$~]))\\[A-Za-z]++(?!\\)|\\\((?!\\\))[^\\]*+(?:\\(?![()])[^\\]*+)*+\\\)"
+        r"|\\\[(?!\\\])[^\\]*+(?:\\(?![\[\]])[^\\]*+)*+\\\]|\$\$[^$]++\$\$|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n]*[^\s$\\])?\$(?![\d$])"
     ),
     "markdown": (
-        r"^[ ]{0,3}#{1,6}[ \t]+\S|^[^\n]*\S[^\n]*\n[ ]{0,3}(?:={2,}|-{3,})[ \t]*$|\*\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*\*"
-        r"|(?<![\w*])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])|(?<![\w_])(_{1,2})(?=[^\s_])[^\n]*?(?<=[^\s_])\1(?![\w_])"
-        r"|!?\[[^\[\]\n]*\]\([^()\s][^()\n]*\)|`[^`\n]+`|^(?:```|~~~)|^[ ]{0,3}>[ \t]*\S|^[ \t]*[-*+][ \t]+\S|^[ \t]*\d{1,9}[.)][ \t]+\S"
-        r"|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|~~(?=\S)[^~\n]+~~|\[\^[^\]\s]+\]"
+        r"^[ ]{0,3}#{1,6}[ \t]+\S|^(?=[^\n]*\S)[^\n]*+\n[ ]{0,3}(?:={2,}+|-{3,}+)[ \t]*$|\*\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*\*"
+        r"|(?<![\w*])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])|^(?>[^\n]*?(?<![\w_])_(?=[^\s_]))[^\n]*?(?<=[^\s_])_(?![\w_])"
+        r"|^(?>[^\n]*?(?<![\w_])__(?=[^\s_]))[^\n]*?(?<=[^\s_])__(?![\w_])"
+        r"|!?\[[^\[\]\n]*+\]\([^()\s][^()\n]*+\)|`[^`\n]++`|^(?:```|~~~)|^[ ]{0,3}>[ \t]*+\S|^[ \t]*+[-*+][ \t]++\S|^[ \t]*+\d{1,9}[.)][ \t]++\S"
+        r"|^[ \t]*+(?:\|[ \t]*+)?:?-{3,}+:?[ \t]*+(?:\|[ \t]*+:?-{3,}+:?[ \t]*+)++\|?[ \t]*$|~~(?=\S)[^~\n]++~~|\[\^[^\]\s]++\]"
     ),
 }
 
+#: Where something could begin that belongs to a family, counted as a block's marks.
+_MARK = (
+    r"<[/!?A-Za-z]|&[#A-Za-z]|''|\{[{|]|\[|\\[A-Za-z(\[]|\$|\*\S|(?<!\w)_|`|~~|^[ \t]*(?:[=#>|+:!]|[-*][ \t-]|\d{1,9}[.)][ \t])|\n[ ]{0,3}[=-]{2}|-{3}"
+)
+
 FEATURES = [
     "words", "density", "words_before", "density_before", "words_after", "density_after",
     "marks", "heading", "listed", "fenced", "formula", "bars", "quoted",
@@ -59,12 +79,19 @@ LABELLED = [
     [("heading", "\\section{Method}"), ("markup", "We follow~\\cite{ref1} and use \\emph{two} passes."), ("formula", "$$ q = \\frac{a}{b} $$"), ("formula", "\\[ s = \\sum_i w_i \\]"), ("list", "\\item first pass\n\\item second pass"), ("plain", "Both passes read the same input.")],
     [("heading", "<h2>Contacts</h2>"), ("markup", "<p class=\"note\">Ask the desk &amp; the lead.</p>"), ("list", "<li>desk</li>\n<li>lead</li>"), ("links", "<a href=\"/a\">Back</a> <a href=\"/b\">Next</a>"), ("plain", "The desk is open on working days.")],
     [("plain", "Run the job twice a week."), ("code", "```\nfor i in range(3):\n    run(i)\n```"), ("code", "~~~\nx = load('a')\n~~~"), ("plain", "It ends without output."), ("quote", "> Keep it simple.\n> Keep it short.")],
-    [("table", "| item | state |\n|---|---|\n| plan | open |"), ("table", "{| class=\"wikitable\"\n|-\n| plan || open\n|}"), ("markup", "See **the plan** and `the code`."), ("markup", "Keep it if 3 < 5 and 9 > 4."), ("markup", "The fee went from $5 to $12.")],
+    [("table", "| item | state |\n|---|---|\n| plan | open |"), ("table", "{| class=\"wikitable\"\n|-\n| plan || open\n|}"), ("markup", "See **the plan** and `the code`."), ("plain", "Keep it if 3 < 5 and 9 > 4."), ("markup", "The fee went from $5 to $12.")],
     [("heading", "Overview\n====="), ("plain", "An overview is given first. It says what the page is for and who keeps it up to date."), ("list", "1. read\n2. sign\n3. file"), ("markup", "The field review_due_date is optional."), ("markup", "''Note'' the limits.")],
     [("plain", "Short line"), ("markup", "R&amp;D the plan"), ("markup", "<!-- check this -->"), ("markup", "{{Notice|text=open}}"), ("formula", "$x_1 = y^2$"), ("markup", "with $x_1 = y^2$ as above")],
     [("code", "```tex\n\\textbf{x} $y_1$\n```"), ("plain", "A long paragraph explains the choice in several sentences. It has no marks at all. It goes on for a while, so that its length is that of a usual paragraph in a handbook."), ("markup", "A long paragraph has one [link](a.md) in it and goes on for a while, so that its length is that of a usual paragraph in a handbook."), ("links", "[1](a) [2](b) [3](c) [4](d)")],
     [("plain", "この文書は公開されています。"), ("markup", "''計画''を見直します。"), ("list", "- 計画\n- 記録"), ("heading", "### 概要"), ("quote", "> 記録を残す"), ("table", "| a | b |\n|---|---|")],
-    [("markup", "He wrote a_b and c|d."), ("markup", "Ticket #42 stays open."), ("markup", "a/b/c~old"), ("plain", "Use the range 3 - 5."), ("plain", "\"Quoted\" words (in brackets) are plain."), ("markup", "Write to C:\\shared first.")],
+    [("plain", "He wrote a_b and c|d."), ("plain", "Ticket #42 stays open."), ("plain", "a/b/c~old"), ("plain", "Use the range 3 - 5."), ("plain", "\"Quoted\" words (in brackets) are plain."), ("markup", "Write to C:\\shared first.")],
+    [("links", "[Home](/)"), ("links", "[Search](/s)"), ("links", "[Help](/h)"), ("plain", "The board meets once a quarter and reads every report that was filed since the last meeting."), ("markup", "[The board](board.md)"), ("plain", "It also hears the people who filed them, if they ask for it in good time before the meeting.")],
+    [("plain", "Each team names one person who answers questions about its records and keeps the index in order."), ("markup", "[[Team list]]"), ("plain", "Whoever leaves a team hands the index over and tells the desk who will keep it from then on."), ("markup", "<a href=\"desk.html\">The desk</a>"), ("plain", "The desk answers within two working days and tells the team if the question needs more time.")],
+    [("links", "[[Plans]]"), ("links", "[[Lists]]"), ("links", "[[Index]]"), ("links", "[[Team list]]"), ("plain", "The page was moved here from the old site together with its history and all of its links.")],
+    [("heading", "# Sources"), ("markup", "[The report of the board](report.md)"), ("plain", "The report was read by two reviewers who found that most of its numbers could be checked."), ("links", "<a href=\"/x\">Next</a>"), ("links", "<a href=\"/y\">Top</a>"), ("links", "<a href=\"/z\">Print</a>")],
+    [("plain", "A paragraph of the usual length ends here without any mark, as most paragraphs of a handbook do."), ("links", "[1](a.md) [2](b.md)"), ("links", "[Back](c.md)"), ("links", "[Index](d.md)")],
+    [("markup", "[[The plan]]")], [("markup", "[See the plan](plan.md)")], [("markup", "[[Old plan|plan]] [[List]]")], [("links", "[Home](/) [Search](/s) [Help](/h) [Index](/i)")],
+    [("table", "! name !! state"), ("table", "| plan || open"), ("table", "| list || done"), ("plain", "The table above is kept by hand and is read again before every meeting of the board.")],
 ]
 
 
@@ -73,8 +100,11 @@ def _once(df: DataFrame, **columns: F.Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def blocks_of(texts: DataFrame, text: str) -> DataFrame:
-    """One row per block: the text's row (see ``boxed``), block_no, block and the features of the tree."""
+def blocks_of(texts: DataFrame, text: str, outer: bool = False) -> DataFrame:
+    """One row per block: the text's row (see ``boxed``), block_no, block and the features of the tree.
+
+    With ``outer``, texts without blocks have one row with nulls.
+    """
     link = r"!?\[[^\[\]\n]*\]\([^()\n]*\)|\[\[[^\[\]\n]+\]\]|\[https?://[^\]\n]+\]|<a\s[^>]*>[^<]*</a>"
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     df = _once(boxed(texts, _text=F.col(text)), _blocks=F.filter(F.regexp_extract_all(F.col("_text"), F.lit(SEGMENT), 0), lambda s: s.rlike(r"(?U)\S")))
@@ -82,12 +112,11 @@ def blocks_of(texts: DataFrame, text: str) -> DataFrame:
         b.contains("[") | b.contains("<a"), words(F.array_join(F.regexp_extract_all(b, F.lit(link), 0), " "))
     ).otherwise(0)
     df = _once(df, _stats=F.transform("_blocks", lambda b: F.struct(words(b).alias("w"), linked(b).alias("l"))))
-    df = df.select(*[own(texts, c) for c in texts.columns], "_stats", F.posexplode("_blocks").alias("_i", "block"))
+    df = df.select(*[own(texts, c) for c in texts.columns], "_stats", (F.posexplode_outer if outer else F.posexplode)("_blocks").alias("_i", "block"))
     near = lambda k: F.get("_stats", F.col("_i") + k)
     density = lambda s: F.coalesce(F.when(s["w"] > 0, F.least(s["l"] / s["w"], F.lit(1.0))), F.lit(0.0))
     b, start = F.col("block"), F.substring("block", 1, 60)
-    df = _once(df, _marks=F.length(b) - F.length(F.translate(b, "<>&[]{}\\$=*_`~|#", "")) + F.when(b.contains("''"), 2).otherwise(0)
-               + F.when(b.rlike(r"(?m)^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t]+\S"), 1).otherwise(0))
+    df = _once(df, _marks=F.regexp_count(b, F.lit(f"(?mdU){_MARK}")))
     marked = F.col("_marks") > 0
     flag = lambda condition: F.when(condition, 1.0).otherwise(0.0)
     values = {
@@ -99,7 +128,7 @@ def blocks_of(texts: DataFrame, text: str) -> DataFrame:
         "listed": flag(start.rlike(r"^\s*(?:[-*+]\s|\d{1,9}[.)]\s|\\item|<li)")),
         "fenced": flag(marked & start.rlike(r"^\s*(?:```|~~~|<pre)")),
         "formula": flag(marked & start.rlike(r"^\s*(?:\$\$|\\\[|\$[^$\n]+\$\s*$|\\begin\{(?:equation|align))")),
-        "bars": (F.length(b) - F.length(F.replace(b, F.lit("|"), F.lit("")))).cast("double"),
+        "bars": (F.length(b) - F.length(F.translate(b, "|!", ""))).cast("double"),
         "quoted": flag(start.rlike(r"^\s*>")),
     }
     df = _once(df, **values)
@@ -127,7 +156,7 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int):
 
 @cache
 def _tree(spark: SparkSession):
-    """Trains the tree on the labelled table (a fixed table of some 55 rows, which comes to the driver)."""
+    """Trains the tree on the labelled table (a fixed table of some 100 rows, which comes to the driver)."""
     docs = [(k, "\n\n".join(b for _, b in doc)) for k, doc in enumerate(LABELLED)]
     table = spark.createDataFrame(docs, "doc int, text string")
     rows = blocks_of(table, "text").select(own(table, "doc").alias("doc"), "block_no", *FEATURES).collect()
@@ -145,10 +174,10 @@ def _as_case(tree, names: list[str]) -> F.Column:
     return F.when(F.col(FEATURES[f]) <= t, _as_case(left, names)).otherwise(_as_case(right, names))
 
 
-def classify(texts: DataFrame, text: str) -> DataFrame:
-    """One row per block with its features and its kind."""
+def classify(texts: DataFrame, text: str, outer: bool = False) -> DataFrame:
+    """One row per block with its features and its kind (see :func:`blocks_of`)."""
     names, tree = _tree(texts.sparkSession)
-    return blocks_of(texts, text).withColumn("kind", _as_case(tree, names))
+    return blocks_of(texts, text, outer).withColumn("kind", _as_case(tree, names))
 
 
 def without_code(c: F.Column) -> F.Column:
@@ -172,76 +201,107 @@ def find_residue(texts: DataFrame, keys: list[str], text: str, families: list[st
     return found.distinct()
 
 
-#: Rewriting rules outside code, in order; each is (pattern, replacement).
-RULES = [
-    (r"<!--[\s\S]*?(?:-->|$)", ""),
-    (r"(?i)<(script|style|head)\b[^>]*>[\s\S]*?</\1\s*>", ""),
-    (r"(?i)<pre[^>]*>\s*(?:<code[^>]*>)?([\s\S]*?)(?:</code>)?\s*</pre>", "\n```\n$1\n```\n"),
-    (r"(?i)<code[^>]*>([^<\n]*)</code>", "`$1`"),
-    (r"(?i)<h1[^>]*>\s*([\s\S]*?)\s*</h1>", "\n# $1\n"), (r"(?i)<h2[^>]*>\s*([\s\S]*?)\s*</h2>", "\n## $1\n"),
-    (r"(?i)<h3[^>]*>\s*([\s\S]*?)\s*</h3>", "\n### $1\n"), (r"(?i)<h4[^>]*>\s*([\s\S]*?)\s*</h4>", "\n#### $1\n"),
-    (r"(?i)<h5[^>]*>\s*([\s\S]*?)\s*</h5>", "\n##### $1\n"), (r"(?i)<h6[^>]*>\s*([\s\S]*?)\s*</h6>", "\n###### $1\n"),
-    (r"(?i)<li[^>]*>\s*", "\n- "), (r"(?i)</li\s*>", ""), (r"(?i)<(?:br|hr)\s*/?>", "\n"),
-    (r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | "), (r"(?i)</?(?:p|div|ul|ol|table|tr|section|article|blockquote)(?:\s[^<>]*)?>", "\n"),
-    (r"&lt;/?[A-Za-z][A-Za-z0-9]*(?:\s(?:(?!&[lg]t;)[^<>\n])*)?/?&gt;", ""),
-    (r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!DOCTYPE[^>]*>|<\?xml[^>]*>", ""),
-    (r"(?m)^[ \t]*=(?!=)[ \t]*([^=\n]+?)[ \t]*=[ \t]*$", "# $1"), (r"(?m)^[ \t]*==(?!=)[ \t]*([^=\n]+?)[ \t]*==[ \t]*$", "## $1"),
-    (r"(?m)^[ \t]*===(?!=)[ \t]*([^=\n]+?)[ \t]*===[ \t]*$", "### $1"), (r"(?m)^[ \t]*={4,6}(?!=)[ \t]*([^=\n]+?)[ \t]*={4,6}[ \t]*$", "#### $1"),
-    (r"\[\[(?:File|Image|Datei|Fichier):[^\[\]\n|]*(?:\|[^\[\]\n|]*)*?\|?([^\[\]\n|]*)\]\]", "$1"),
-    (r"\[\[[^\[\]\n|]*\|([^\[\]\n]*)\]\]", "$1"), (r"\[\[([^\[\]\n]+)\]\]", "$1"),
-    (r"\[(?:https?|ftp)://[^\s\]]+ ([^\]\n]*)\](?!\()", "$1"), (r"\[((?:https?|ftp)://[^\s\]]+)\](?!\()", "$1"),
-    (r"\{\{[^{}|]*\}\}", ""), (r"\{\{[^{}]*[|=]([^{}|=]*)\}\}", "$1"),
-    (r"(?m)^[ \t]*\{\|[^\n]*\n?|^[ \t]*\|[-}][ \t]*$\n?", ""), (r"(?m)^[ \t]*[|!][ \t]*([^|\n]*)\|\|", "| $1 | "), (r"[ \t]*\|\|[ \t]*", " | "),
-    (r"'''''((?:(?!''''')[^\n])+)'''''|'''((?:(?!''')[^\n])+)'''|''((?:(?!'')[^\n])+)''", "$1$2$3"),
-    (r"\\\[\s*((?:(?!\\\])[\s\S])+?)\s*\\\]|\\begin\{(?:equation|align)\*?\}\s*([\s\S]*?)\s*\\end\{(?:equation|align)\*?\}", "\\$\\$ $1$2 \\$\\$"),
-    (r"\\\(\s*((?:(?!\\\))[\s\S])+?)\s*\\\)", "\\$$1\\$"),
-    (r"\\(?:chapter|section)\*?\{([^{}]*)\}", "# $1"), (r"\\subsection\*?\{([^{}]*)\}", "## $1"), (r"\\subsubsection\*?\{([^{}]*)\}", "### $1"),
-    (r"\\item(?:\[[^\]\n]*\])?[ \t]*", "- "), (r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\])?", ""),
-    (r"~?\\cite[a-z]*\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", ""), (r"~?\\(?:eq|page)?ref\{([^{}]*)\}", " $1"), (r"\\label\{[^{}]*\}", ""),
-    (r"\\footnote\{([^{}]*)\}", " ($1)"), (r"\\(?:text[a-z]{2}|emph|underline|mbox|texttt)\{([^{}]*)\}", "$1"),
-]
+_LINK = re.compile(r"\s*(?:[|·•–>/]\s*)?(!?\[[^\[\]\n]*\]\([^()\n]*\)|\[\[[^\[\]\n]+\]\]|\[https?://[^\]\n]+\]|<a\s[^>]*>[^<]*</a>)")
+_TORN = re.compile(r"[ \t]*[|!][^\n]*(?:\|\||!!)")
 
-#: Markdown that is only dress in an excerpt, taken off; headings, lists and code stay.
-EXCERPT_RULES = [
-    (r"!\[([^\[\]\n]*)\]\([^()\n]*\)", "$1"), (r"\[([^\[\]\n]*)\]\([^()\n]*\)", "$1"), (r"\[\^[^\]\s]+\]:?", ""),
-    (r"\*\*((?=[^\s*])[^*\n]*(?<=[^\s*]))\*\*", "$1"), (r"(?U)(?<![\w*])\*((?=[^\s*])[^*\n]*(?<=[^\s*]))\*(?![\w*])", "$1"),
-    (r"(?U)(?<![\w_])__((?=[^\s_])[^\n]*?(?<=[^\s_]))__(?![\w_])", "$1"), (r"(?U)(?<![\w_])_((?=[^\s_])[^\n]*?(?<=[^\s_]))_(?![\w_])", "$1"),
-    (r"~~((?=\S)[^~\n]+)~~", "$1"), (r"(?m)^[ ]{0,3}>[ \t]?", ""), (r"(?m)^([^\n]*\S[^\n]*)\n[ ]{0,3}={2,}[ \t]*$", "# $1"),
-    (r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$\n?", ""),
-]
 
-#: Named entities; numbered ones are decoded by rule.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "copy": "©",
-            "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "amp": "&"}
+def _prepared(kind: str, block: str, has_tables: bool) -> str:
+    """A block in the form its class asks for: links of a navigation as a list, rows of a torn wiki table as rows."""
+    if kind == "links":
+        return _LINK.sub(r"\n- \1", block).lstrip("\n")
+    if kind == "table" and not has_tables and _TORN.match(block):
+        return "\n".join(wiki_rows(block.rstrip("\n").split("\n"))) + block[len(block.rstrip("\n")) :]
+    return block
 
 
-def _rewrite(c: F.Column, rules: list[tuple[str, str]]) -> F.Column:
-    for pattern, replacement in rules:
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+def clean_blocks(kinds: list[str], blocks: list[str], excerpt: bool) -> str:
+    """The clean text of the blocks of a text."""
+    if kinds == ["none"]:
+        return blocks[0]
+    if all(k == "plain" for k in kinds):
+        return tidy("".join(blocks))
+    has_tables = any("{|" in b for b in blocks)
+    return rewrite("".join(_prepared(k, b, has_tables) for k, b in zip(kinds, blocks)), excerpt)
 
 
-def _entities(c: F.Column) -> F.Column:
-    """Numbered entities by code point (text between them kept), then the named ones."""
-    pieces = F.split(c, r"(?=&#[0-9xX])|(?<=;)(?<=&#[0-9a-fA-FxX]{1,8};)")
-    number = lambda p: F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1)
-    hexed = lambda p: F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-    point = lambda p: F.coalesce(F.when(number(p) != "", number(p)), F.when(hexed(p) != "", F.conv(hexed(p), 16, 10))).try_cast("int")
-    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(point(p)), 8, "0")), "UTF-32")
-    sound = lambda p: (point(p) > 0) & (point(p) < 0x110000) & ~point(p).between(0xD800, 0xDFFF)
-    c = F.when(c.contains("&#"), F.array_join(F.transform(pieces, lambda p: F.when(sound(p), char(p)).otherwise(p)), "")).otherwise(c)
-    for name, value in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
-    return c
+def clean(texts: DataFrame, text: str, excerpt: bool) -> DataFrame:
+    """Adds ``clean_text``: the text without HTML, wiki and LaTeX markup, structure kept as Markdown.
 
+    The blocks of a text follow one another in one task, so they are put together again without a
+    shuffle; the other columns travel with the first block only.
+    """
+    rows = classify(texts, text, outer=True)
+    first = F.col("block_no") == 1
+    owned = [F.when(first | F.col("block_no").isNull(), own(texts, c)).alias(f"_own{i}") for i, c in enumerate(texts.columns)]
+    slim = rows.select(*owned, F.coalesce("block_no", F.lit(1)).alias("_no"), F.when(F.col("block_no").isNull(), "none").otherwise(F.col("kind")).alias("_kind"),
+                       F.when(F.col("block_no").isNull(), own(texts, text)).otherwise(F.col("block")).alias("_block"))
+    fields = [StructField(f"_own{i}", texts.schema[i].dataType) for i in range(len(texts.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, kinds, blocks = None, [], []  # the last text of a batch may go on in the next
+
+        def done(heads: list[pa.RecordBatch], cleaned: list) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(heads).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*whole.columns, pa.array(cleaned, pa.string())], [*whole.schema.names, "_clean"])
+
+        for batch in batches:
+            heads = batch.select(range(len(fields)))
+            numbers, names, parts = batch["_no"].to_numpy(), batch["_kind"].to_pylist(), batch["_block"].to_pylist()
+            starts = np.flatnonzero(numbers == 1).tolist()
+            ready, cleaned = [], []
+            if starts and starts[0] > 0 or not starts:
+                until = starts[0] if starts else len(numbers)
+                kinds += names[:until]
+                blocks += parts[:until]
+            if not starts:
+                continue
+            if waiting is not None:
+                ready.append(waiting)
+                cleaned.append(_whole(kinds, blocks, excerpt))
+            for a, b in zip(starts, starts[1:]):
+                cleaned.append(_whole(names[a:b], parts[a:b], excerpt))
+            if len(starts) > 1:
+                ready.append(heads.take(pa.array(starts[:-1])))
+            waiting, kinds, blocks = heads.take(pa.array(starts[-1:])), names[starts[-1] :], parts[starts[-1] :]
+            if ready:
+                yield done(ready, cleaned)
+        if waiting is not None:
+            yield done([waiting], [_whole(kinds, blocks, excerpt)])
+
+    found = slim.mapInArrow(run, StructType([*fields, StructField("_clean", StringType())]))
+    return unboxed(found, texts, clean_text=F.col("_clean"))
+
+
+def _whole(kinds: list[str], blocks: list[str | None], excerpt: bool) -> str | None:
+    return None if blocks[0] is None else clean_blocks(kinds, blocks, excerpt)
+
+
+def left_over(cleaned: DataFrame, keys: list[str], text: str, families: list[str]) -> DataFrame:
+    """(keys, family) of what a cleaned text still holds outside of its code and formulas."""
+    bare = F.regexp_replace(without_code(F.col(text)), f"(?U){_KEPT_FORMULA}", " ")
+    return find_residue(cleaned.select(*keys, bare.alias("_bare_text")), keys, "_bare_text", families)
+
+
+_KEPT_FORMULA = r"\$\$[^$]++\$\$|(?<![\\$\w])\$(?=[^\s$])(?:[^$\n]*[^\s$\\])?\$(?![\d$])"
+_FENCED = "|".join(rf"^{m}[^\n]*+(?:\n(?!{m})[^\n]*+)*+(?:\n{m}[^\n]*+)?+" for m in ("```", "~~~"))
+_UNDERLINED = r"^(?=[^\n]*\S)[^\n]*+\n[ ]{0,3}(?:={2,}+|-{3,}+)[ \t]*$"
+#: Constructs that clean text keeps, as they may be written before cleaning and as they are written after it.
+STRUCTURE = {
+    "heading": (
+        _UNDERLINED + r"|^[ ]{0,3}#{1,6}[ \t]+\S|^[ \t]*+(={1,6})(?!=)[ \t]*+[^=\s](?:[^\n]*[^=\s])?[ \t]*+\1[ \t]*$|<[hH][1-6](?:\s[^<>]*+)?>|\\(?:chapter|(?:sub){0,2}section)\*?\{",
+        _UNDERLINED + r"|^[ ]{0,3}#{1,6}[ \t]+\S",
+    ),
+    "code": (rf"{_FENCED}|<pre(?:\s[^<>]*+)?>", _FENCED),
+    "formula": (
+        rf"{_KEPT_FORMULA}|\\\((?!\\\))[^\\]*+(?:\\(?![()])[^\\]*+)*+\\\)|\\\[(?!\\\])[^\\]*+(?:\\(?![\[\]])[^\\]*+)*+\\\]|\\begin\{{(?:equation|align)\*?\}}",
+        _KEPT_FORMULA,
+    ),
+    "list": (r"^[ \t]*+(?:[-*+]|\d{1,9}[.)])[ \t]++\S|<li(?:\s[^<>]*+)?>|\\item(?![A-Za-z])", r"^[ \t]*+(?:[-*+]|\d{1,9}[.)])[ \t]++\S"),
+}
 
-def clean(texts: DataFrame, text: str, excerpt: bool) -> DataFrame:
-    """Adds ``clean_text``: the text without HTML, wiki and LaTeX markup, structure kept as Markdown."""
-    part = rf"{CODE}|(?:(?!^(?:```|~~~))(?!`)[\s\S])++|`+"
-    df = _once(boxed(texts, _text=F.col(text)), _parts=F.regexp_extract_all(F.col("_text"), F.lit(part), 0))
-    rules = RULES + (EXCERPT_RULES if excerpt else [])
-    marked = lambda p: p.rlike(r"[<>&\[\]{}\\$=*_~|]|''")
-    is_code = lambda p: p.startswith("`") | p.startswith("~~~")
-    done = F.transform("_parts", lambda p: F.when(is_code(p) | ~marked(p), p).otherwise(_entities(_rewrite(p, rules))))
-    tidy = F.regexp_replace(F.regexp_replace(F.array_join(done, ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return unboxed(df, texts, clean_text=tidy)
+
+def structure(cleaned: DataFrame, before: str, after: str = "clean_text") -> dict[str, tuple[F.Column, F.Column]]:
+    """Per construct, how often it stands in the text before and after cleaning (outside of code, but for code itself)."""
+    bare = {c: without_code(F.col(c)) for c in (before, after)}
+    pick = lambda name, c: F.col(c) if name == "code" else bare[c]
+    return {name: (F.regexp_count(pick(name, before), F.lit(f"(?mdU){b}")), F.regexp_count(pick(name, after), F.lit(f"(?mdU){a}"))) for name, (b, a) in STRUCTURE.items()}

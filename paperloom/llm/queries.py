@@ -67,6 +67,32 @@ def p6_clean(spark, d):
     return parts[0].unionByName(parts[1]).select("field", "node_id", "clean_text")
 
 
+def p6_left(spark, d):
+    """Per field: texts, those with HTML, wiki or LaTeX before cleaning, and those that still have some after it."""
+    sections, excerpts = _marked_up(spark, d)
+    families, out = ["html", "wiki", "latex"], []
+    for texts, excerpt in ((sections.distinct(), False), (excerpts, True)):
+        cleaned = markup.clean(texts, "item", excerpt)
+        after = markup.left_over(cleaned, ["field", "node_id"], "clean_text", families).select("field", "node_id").distinct()
+        before = markup.find_residue(texts, ["field", "node_id"], "item", families).select("field", "node_id").distinct()
+        count = lambda df, what: df.select("field", *[F.lit(int(what == w)).alias(w) for w in ("t", "b", "a")])
+        out += [count(texts, "t"), count(before, "b"), count(after, "a")]
+    rows = reduce(DataFrame.unionByName, out).groupBy("field")
+    return rows.agg(F.sum("t").alias("n_texts"), F.sum("b").alias("n_marked"), F.sum("a").alias("n_left"))
+
+
+def p6_structure(spark, d):
+    """How often each construct stands in all texts of a field before and after cleaning."""
+    sections, excerpts = _marked_up(spark, d)
+    out = []
+    for texts, excerpt in ((sections.distinct(), False), (excerpts, True)):
+        cleaned = markup.clean(texts, "item", excerpt)
+        pairs = [F.struct(F.lit(k).alias("construct"), b.alias("b"), a.alias("a")) for k, (b, a) in markup.structure(cleaned, "item").items()]
+        rows = cleaned.select("field", F.inline(F.array(*pairs)))
+        out.append(rows.groupBy("field", "construct").agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def p6_blocks(spark, d):
     sections, excerpts = _marked_up(spark, d)
     texts = sections.unionByName(excerpts)
@@ -147,7 +173,7 @@ def p10_languages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_pieces, p3_restored, p6_found, p6_clean, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
+        p3_found, p3_pieces, p3_restored, p6_found, p6_clean, p6_left, p6_structure, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
         p9_shares, p10_found, p10_segments, p10_languages,
     )
 }
@@ -197,7 +223,50 @@ starts AS (
 blocks AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS block_no, max(i) FILTER (WHERE NOT blank) OVER (PARTITION BY k) AS last FROM starts),
 sized AS (SELECT k, block_no, sum(strlen(line) + 1) - 1 AS bytes FROM blocks WHERE (inside OR NOT blank) AND i <= last GROUP BY ALL)"""
 
+#: Code and families in DuckDB's expressions, which know no looking around: neighbours are matched instead.
+_SEEN = r"""
+fenceless AS (SELECT *, regexp_replace(item, '(?s)(?m:^)(?:```[^\n]*(?:\n.*?(?m:^)```[^\n]*|.*\z)|~~~[^\n]*(?:\n.*?(?m:^)~~~[^\n]*|.*\z))', ' ', 'g') AS f FROM distinct_items),
+codeless AS (SELECT *, regexp_replace(regexp_replace(f, '``[^\n]+?``', ' ', 'g'), '`[^`\n]+`', ' ', 'g') AS bare FROM fenceless)"""
+_DISTINCT = f"""{_ITEMS},
+distinct_items AS (SELECT DISTINCT field, node_id, item FROM every_item),{_SEEN}"""
+_HTML = r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!--|<!DOCTYPE|<\?xml|&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_WIKI = (
+    r"''[^'\s](?:'?[^'\n])*''|\{\{[^{}]+\}\}|\[\[[^\[\]\n]+\]\]|\[(?:https?|ftp)://[^\s\]]+(?: [^\]\n]*)?\](?:[^(]|\z)|^[ \t]*\{\|"
+    + "".join(rf"|^[ \t]*={{{n}}}[ \t]*[^=\s](?:[^\n]*[^=\s])?[ \t]*={{{n}}}[ \t]*$" for n in range(1, 7))
+)
+_LATEX = (
+    r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|(?:^|[\s({$~])\\[A-Za-z]+(?:[^\\A-Za-z]|\z)|(?s:\\\([^)].*?\\\)|\\\[[^\]].*?\\\])|\$\$[^$]+\$\$"
+    r"|(?:^|[^\\$\pL\pN_])\$(?:[^\s$\\]|[^\s$][^$\n]*[^\s$\\])\$(?:[^\d$]|\z)"
+)
+_MARKDOWN = (
+    r"^[ ]{0,3}#{1,6}[ \t]+\S|^[^\n]*\S[^\n]*\n[ ]{0,3}(?:={2,}|-{3,})[ \t]*$|\*\*[^\s*](?:[^*\n]*[^\s*])?\*\*|(?:^|[^\pL\pN_*])\*[^\s*](?:[^*\n]*[^\s*])?\*(?:[^\pL\pN_*]|\z)"
+    r"|(?:^|[^\pL\pN_])_[^\s_](?:[^\n]*[^\s_])?_(?:[^\pL\pN_]|\z)|(?:^|[^\pL\pN_])__[^\s_](?:[^\n]*[^\s_])?__(?:[^\pL\pN_]|\z)"
+    r"|!?\[[^\[\]\n]*\]\([^()\s][^()\n]*\)|`[^`\n]+`|^(?:```|~~~)|^[ ]{0,3}>[ \t]*\S|^[ \t]*[-*+][ \t]+\S|^[ \t]*\d{1,9}[.)][ \t]+\S"
+    r"|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|~~\S[^~\n]*~~|\[\^[^\]\s]+\]"
+)
+_has = lambda pattern, c: f"regexp_matches({c}, '(?m){pattern.replace(chr(39), chr(39) * 2)}')"
+_FAMILY_ROWS = " UNION ALL ".join(
+    f"SELECT field, node_id, '{name}' AS family FROM codeless WHERE {_has(pattern, c)}{extra}"
+    for name, pattern, c, extra in (("html", _HTML, "bare", ""), ("wiki", _WIKI, "bare", ""), ("latex", _LATEX, "bare", ""), ("markdown", _MARKDOWN, "item", " AND field = 'body_excerpt'"))
+)
+_count = lambda pattern, c: f"sum(len(regexp_extract_all({c}, '(?m){pattern.replace(chr(39), chr(39) * 2)}')))::BIGINT"
+_CONSTRUCTS = {
+    "heading": (r"^[ ]{0,3}#{1,6}[ \t]+\S|<[hH][1-6](?:\s[^<>]*)?>|\\(?:chapter|(?:sub){0,2}section)\*?\{|^[^\n]*\S[^\n]*\n[ ]{0,3}(?:={2,}|-{3,})[ \t]*$" + _WIKI[_WIKI.index("|^[ \\t]*={1}") :], "bare"),
+    "code": (r"<pre(?:\s[^<>]*)?>", "f"),
+    "formula": (r"\$\$[^$]+\$\$|(?s:\\\([^)].*?\\\)|\\\[[^\]].*?\\\])|\\begin\{(?:equation|align)\*?\}" + _LATEX[_LATEX.index(r"|(?:^|[^\\$\pL") :], "bare"),
+    "list": (r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S|<li(?:\s[^<>]*)?>|\\item(?:[^A-Za-z]|\z)", "bare"),
+}
+_STRUCTURE_ROWS = " UNION ALL ".join(
+    f"SELECT field, '{k}' AS construct, {_count(pattern, c)}{extra} AS n FROM codeless GROUP BY field"
+    for k, (pattern, c) in _CONSTRUCTS.items()
+    for extra in [" + sum((len(item) - len(replace(item, chr(10) || '```', chr(10) || '``')) + (item LIKE '```%')::INTEGER + len(item) - len(replace(item, chr(10) || '~~~', chr(10) || '~~')) + (item LIKE '~~~%')::INTEGER + 1) // 2)::BIGINT" if k == "code" else ""]
+)
+
 ORACLE: dict[str, str] = {
+    "p6_found": f"WITH {_DISTINCT} SELECT DISTINCT * FROM ({_FAMILY_ROWS})",
+    "p6_left": f"""WITH {_DISTINCT}, marked AS (SELECT DISTINCT field, node_id FROM ({_FAMILY_ROWS}) WHERE family <> 'markdown')
+SELECT field, count(*) AS n_texts, (SELECT count(*) FROM marked m WHERE m.field = t.field) AS n_marked, 0::BIGINT AS n_left FROM distinct_items t GROUP BY field""",
+    "p6_structure": f"WITH {_DISTINCT} SELECT field, construct, n AS n_before, n AS n_after FROM ({_STRUCTURE_ROWS})",
     "p3_found": f"""WITH RECURSIVE {_BLOCKS}
 SELECT field, node_id, 0::INTEGER AS block_no FROM over
 UNION SELECT field, node_id, block_no::INTEGER FROM numbered JOIN sized USING (k) WHERE bytes > most""",
