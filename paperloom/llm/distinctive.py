@@ -58,7 +58,7 @@ def score_terms(records: DataFrame, key: str, texts: list[str], frequent_terms:
     flat = counted.select("key", F.inline("counts"))
     totals = flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     per = F.lit(float(max(n, 1)))
-    residual = -F.log2(F.col("df") / per) + F.log2(1 - F.exp(-F.col("cf") / per))
+    residual = -F.log2(F.col("df") / per) + F.log2(-F.expm1(-F.col("cf") / per))
     totals = stored(totals.withColumn("residual_idf", residual), "term-totals")
     floor = max(2, -(-postings // frequent_terms))
     frequent, rare = totals.filter(F.col("df") >= floor), totals.filter(F.col("df") < floor)

@@ -48,26 +48,26 @@ def plan_mix(documents: DataFrame, key: str, size: str, source: str, targets: Da
     rest = F.when(F.col("copies") < F.col("repeats"), F.col("budget") - F.col("copies") * F.col("supply")).otherwise(0.0)
     # the state of the search: how much is still to fill, below which hash, inside which bucket
     plan = stored(plan.withColumns({"left_over": rest, "prefix": F.lit(0).cast("long"), "open": rest > 0}), "mix-plan")
+    boundary = docs.select("s", "h", "size")  # after the first level: the documents of the boundary buckets only, one in 4,096
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = docs.join(F.broadcast(plan.filter("open").select("s", "prefix")), "s").filter(
-            F.shiftright("h", shift + BITS) == F.col("prefix")
-        )
+        inside = boundary.join(F.broadcast(plan.filter("open").select("s", "prefix")), "s").filter(F.shiftright("h", shift + BITS) == F.col("prefix"))
         buckets = inside.groupBy("s", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         up_to = F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))
         buckets = buckets.withColumn("before", up_to - F.col("n")).join(F.broadcast(plan.select("s", "left_over")), "s")
         edge = buckets.filter((F.col("before") <= F.col("left_over")) & (F.col("before") + F.col("n") > F.col("left_over")))
         edge = edge.groupBy("s").agg(F.min(F.struct("bucket", "before")).alias("e"))
-        plan = plan.join(edge, "s", "left")
         plan = stored(
-            plan.select(
+            plan.join(edge, "s", "left").select(
                 "s", "source", "share", "repeats", "total", "supply", "budget", "copies", "short",
                 F.when(F.col("e").isNotNull(), F.col("left_over") - F.col("e.before")).otherwise(F.col("left_over")).alias("left_over"),
-                F.when(F.col("open"), F.coalesce(F.col("e.bucket"), F.shiftleft(F.col("prefix") + 1, BITS) - 1)).otherwise(0).alias("prefix"),
-                (F.col("open")).alias("open"),
+                F.when(F.col("open"), F.coalesce(F.col("e.bucket"), F.shiftleft(F.col("prefix") + 1, BITS) - 1)).otherwise(0).alias("prefix"), "open",
             ),
             "mix-plan",
         )
+        if level == 0:
+            at_edge = F.shiftright("h", shift) == F.col("prefix")
+            boundary = stored(boundary.join(F.broadcast(plan.filter("open").select("s", "prefix")), "s").filter(at_edge).drop("prefix"), "mix-boundary")
     return docs, plan
 
 
@@ -88,7 +88,7 @@ def mix(documents: DataFrame, key: str, size: str, source: str, targets: DataFra
     report = plan.select("source", "share", "repeats", "supply", "total", "short").join(reached, "source", "left").na.fill(0)
     everything = F.sum("reached_tokens").over(Window.partitionBy(F.lit(1)))  # a row per source
     report = report.select(
-        "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("supply").alias("supply_tokens"),
+        "source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), F.col("supply").alias("supply_tokens"), F.col("total").alias("total_tokens"),
         "n_documents", "most_copies", "reached_tokens", F.when(everything > 0, F.col("reached_tokens") / everything).otherwise(0.0).alias("reached_share"),
         F.when(F.col("total") > 0, F.col("reached_tokens") / F.col("total")).otherwise(0.0).alias("reached_of_total"), "short",
     )

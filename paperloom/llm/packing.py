@@ -47,7 +47,10 @@ class BestFit:
         if space == 0:
             return  # full
         if self.n_open >= self.most:
-            self._take((self.bits & -self.bits).bit_length() - 1)  # close the fullest
+            fullest = (self.bits & -self.bits).bit_length() - 1
+            if space <= fullest:
+                return  # this bin is the fullest itself and stays closed
+            self._take(fullest)
         self.free.setdefault(space, []).append(chosen)
         self.bits |= 1 << space
         self.n_open += 1

@@ -136,6 +136,18 @@ def p8_fill(spark, d):
     )
 
 
+def p8_invariants(spark, d):
+    """Per container kind: documents and tokens placed, containers over their capacity, documents cut without need, rests of cut documents in more than one piece."""
+    kinds = F.broadcast(read(spark, d, "containers"))
+    rows = _packed(spark, d, tokens.plain_tokens).join(kinds, "container_kind")
+    bins = rows.groupBy("container_kind", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("n"))
+    over = bins.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_over_capacity"))
+    docs = rows.groupBy("container_kind", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces"))
+    need = F.greatest(F.ceil(F.col("n") / F.col("capacity_tokens")), F.lit(1))
+    placed = docs.groupBy("container_kind").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_tokens"), F.count_if(F.col("pieces") != need).alias("n_needless_cuts"))
+    return placed.join(over, "container_kind")
+
+
 def _mix(spark, d, measure):
     docs = read(spark, d, "documents").select("doc_id", "source", measure("text").alias("size"))
     return mixing.mix(docs, "doc_id", "size", "source", read(spark, d, "mix_targets"))
@@ -153,6 +165,19 @@ def p9_shares(spark, d):
     return _mix(spark, d, tokens.tokenizer_tokens)[1]
 
 
+def p9_reached(spark, d):
+    """Per source: what it was to give, whether it fell short with every document at its limit, and whether a source that
+    did not reached its target to within one document (the largest of the source)."""
+    docs = read(spark, d, "documents").select("doc_id", "source", tokens.plain_tokens("text").alias("size"))
+    report = mixing.mix(docs, "doc_id", "size", "source", read(spark, d, "mix_targets"))[1]
+    largest = docs.groupBy(mixing.source_key(F.col("source")).alias("_s")).agg(F.max("size").alias("largest"))
+    rows = report.join(largest, mixing.source_key(F.col("source")) == F.col("_s"), "left")
+    gap = F.col("target_share") * F.col("total_tokens") - F.col("reached_tokens")
+    full = F.col("reached_tokens") == F.col("supply_tokens") * F.col("max_repeats")
+    within = F.when(F.col("short"), full).otherwise((gap >= -1e-6) & (gap < F.coalesce("largest", F.lit(0)) + 1e-6))
+    return rows.select("source", "max_repeats", "supply_tokens", "short", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), within.alias("within_one_document"))
+
+
 def _segments(spark, d):
     docs = read(spark, d, "documents")
     return language.segments(docs, language.fit(docs))
@@ -166,6 +191,20 @@ def p10_segments(spark, d):
     return _segments(spark, d)
 
 
+def p10_coverage(spark, d):
+    """Documents in all, those with a language, and of these the ones whose segments overlap, leave the text or have a confidence outside 0 to 1."""
+    docs, found = read(spark, d, "documents"), _segments(spark, d)
+    lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.regexp_replace("text", r"(?U)[\W\d_]", "").alias("letters"))
+    per = found.groupBy("doc_id").agg(
+        F.sum(F.col("last_line") - F.col("first_line") + 1).alias("held"), F.max("last_line").alias("last"), F.min("first_line").alias("first"),
+        F.min("confidence").alias("least"), F.max("confidence").alias("most"),
+    )
+    rows = lines.join(per, "doc_id", "left")
+    wrong = (F.col("held") > F.col("n_lines")) | (F.col("last") > F.col("n_lines")) | (F.col("first") < 1) | (F.col("least") <= 0) | (F.col("most") > 1)
+    return rows.agg(F.count("*").alias("n_documents"), F.count_if((F.col("n_lines") > 0) & (F.length("letters") == 0) & F.col("last").isNotNull()).alias("n_without_letters"),
+                    F.count_if(F.coalesce(wrong, F.lit(False))).alias("n_wrong"))
+
+
 def p10_languages(spark, d):
     return language.documents_languages(_segments(spark, d))
 
@@ -173,8 +212,8 @@ def p10_languages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_pieces, p3_restored, p6_found, p6_clean, p6_left, p6_structure, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p9_found, p9_selection,
-        p9_shares, p10_found, p10_segments, p10_languages,
+        p3_found, p3_pieces, p3_restored, p6_found, p6_clean, p6_left, p6_structure, p6_blocks, p7_found, p7_scores, p8_found, p8_assignment, p8_fill, p8_invariants, p9_found, p9_selection, p9_reached,
+        p9_shares, p10_found, p10_segments, p10_coverage, p10_languages,
     )
 }
 
@@ -277,6 +316,13 @@ UNION SELECT field, node_id, block_no::INTEGER FROM numbered JOIN sized USING (k
 SELECT node_id, term, tf::INTEGER AS tf, df, cf,
        round(tf * (-log2(df / n) + log2(1 - exp(-cf / n))) * 1e6) / 1e6 + 0.0 AS score
 FROM tfs JOIN dfs USING (term) CROSS JOIN n""",
+    "p8_invariants": f"""WITH sized AS (SELECT doc_id, {_COUNT} AS n FROM documents)
+SELECT container_kind, count(*) AS n_documents, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_needless_cuts, 0::BIGINT AS n_over_capacity FROM sized CROSS JOIN containers GROUP BY container_kind""",
+    "p9_reached": f"""WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents),
+sums AS (SELECT s, sum(n) AS n FROM sized GROUP BY s), total AS (SELECT sum(n) AS n FROM sums)
+SELECT m.source, m.max_repeats, coalesce(sums.n, 0)::BIGINT AS supply_tokens, coalesce(sums.n, 0) * m.max_repeats < m.target_share * total.n AS short, true AS within_repeats, true AS within_one_document
+FROM mix_targets m CROSS JOIN total LEFT JOIN sums ON sums.s = lower(trim(m.source))""",
+    "p10_coverage": "SELECT count(*) AS n_documents, 0::BIGINT AS n_without_letters, 0::BIGINT AS n_wrong FROM documents",
     "p8_found": f"SELECT container_kind, doc_id FROM documents JOIN containers ON {_COUNT} > capacity_tokens",
     "p9_found": f"""WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents),
 sums AS (SELECT s, sum(n) AS n FROM sized GROUP BY s), total AS (SELECT sum(n) AS n FROM sums)

@@ -6,10 +6,11 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
+_SHIPPED: dict[str, set[str]] = {}  # application -> files sent
 
 #: The characters that count one by one.
 _SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
@@ -23,14 +24,19 @@ def plain_tokens(text: str) -> Column:
 
 
 def tokenizer_tokens(text: str, folder: str = TOKENIZER_FOLDER, name: str = "byte_bpe_50k.json") -> Column:
-    """Tokens of a public tokenizer file, read once per Python worker from ``folder``."""
+    """Tokens of a public tokenizer file of ``folder``, which the driver ships to the executors; read once per Python worker."""
+    context = SparkSession.active().sparkContext
+    if os.path.join(folder, name) not in _SHIPPED.setdefault(context.applicationId, set()):
+        context.addFile(os.path.join(folder, name))
+        _SHIPPED[context.applicationId].add(os.path.join(folder, name))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(os.path.join(folder, name))
+        tokenizer = Tokenizer.from_file(SparkFiles.get(name))
         tokenizer.encode_special_tokens = True
         for texts in batches:
             coded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)

@@ -21,7 +21,7 @@ def test_scores_against_brute_force(spark, frequent):
         cf.update(c)
     assert set(got) == {(i, t) for i, c in tf.items() for t in c}
     for (i, t), r in got.items():
-        want = -math.log2(df_[t] / len(tf)) + math.log2(1 - math.exp(-cf[t] / len(tf)))
+        want = -math.log2(df_[t] / len(tf)) + math.log2(-math.expm1(-cf[t] / len(tf)))
         assert (r.tf, r.df, r.cf) == (tf[i][t], df_[t], cf[t]) and abs(r.score - r.tf * want) < 1e-9
 
 
