@@ -8,7 +8,8 @@ pointer doubling, which gives the same root, depth, descendant count and cycle (
 from logarithmically many equality joins.
 
 Defined results: a node without parent is a root of depth 0; a node given several parents keeps the
-least one; a parent that never occurs as child is a root; nodes on or below a cycle have root '' and
+least one (``further_parents`` gives them all); a name that fits several documents means the least id
+(``ambiguous_names`` gives them all); a parent that never occurs as child is a root; nodes on or below a cycle have root '' and
 depth -1; null and blank ids are no nodes; repeated links count once; no links give no rows.
 """
 
@@ -141,6 +142,20 @@ def _jump(links: DataFrame, rounds: int, with_paths: bool) -> DataFrame:
     return state
 
 
+def _below(forest: DataFrame, rounds: int) -> DataFrame:
+    """(node, _below): the number of nodes under each node that has some.
+
+    Weights are pushed up by steps of doubling length: before a round a node's weight counts the nodes up to
+    2**k - 1 steps below it; it then adds the weights of those whose pointer of 2**k steps ends at it.
+    """
+    state = cut(forest.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("w")))
+    for _ in range(rounds):
+        sums = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("w").alias("more"))
+        jump = state.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        state = cut(state.join(sums, "node", "left").join(jump, "up", "left").select("node", F.col("up2").alias("up"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
+    return state.filter("w > 1").select("node", (F.col("w") - 1).alias("_below"))
+
+
 def _doubling(links: DataFrame, with_paths: bool) -> DataFrame:
     """Components too large for one task: jump pointers of doubling length until all end at a root."""
     rounds = math.ceil(math.log2(max(2, links.count()))) + 1
@@ -153,15 +168,14 @@ def _doubling(links: DataFrame, with_paths: bool) -> DataFrame:
         "component", "node", "parent", F.when(F.col("_ends"), F.col("up")).otherwise("").alias("root"),
         F.when(F.col("_ends"), F.col("steps")).otherwise(-1).alias("depth"), F.coalesce("_circle", F.lit(False)).alias("on_cycle"),
     )
-    if not with_paths:
-        empty = [F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("n_descendants")]
-        return done.select("component", "node", "parent", "root", "depth", *empty, "on_cycle")
     done = cut(done)
     opened = done.select("node", F.when(~F.col("on_cycle"), F.col("parent")).alias("parent"))  # circles cut open: a forest
-    paths = cut(_jump(opened, rounds, True).select("node", F.concat("above", F.array("node")).alias("path")))
-    below = paths.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("node").agg(F.count("*").alias("_below"))
     size = done.groupBy("component").agg((F.count("*") - 1).alias("_others"))
-    done = done.join(paths, "node").join(below, "node", "left").join(size, "component")
+    done = done.join(_below(opened, rounds), "node", "left").join(size, "component")
+    if with_paths:
+        done = done.join(cut(_jump(opened, rounds, True).select("node", F.concat("above", F.array("node")).alias("path"))), "node")
+    else:
+        done = done.withColumn("path", F.lit(None).cast("array<string>"))
     return done.select(
         "component", "node", "parent", "root", "depth", F.when(F.col("depth") >= 0, F.col("path")).alias("path"),
         F.when(F.col("on_cycle"), F.col("_others")).otherwise(F.coalesce("_below", F.lit(0))).alias("n_descendants"), "on_cycle",
@@ -174,8 +188,8 @@ def build_hierarchy(
     """(component, node, parent, root, depth, path, n_descendants, on_cycle) of links (node, parent).
 
     ``component`` names a column that already tells components apart (say, the file of a heading);
-    without it they are computed.  Without ``with_paths`` components above ``max_component`` leave
-    ``n_descendants`` null, since counting them there takes the paths.
+    without it they are computed.  Of a node with several parents the least is its parent here;
+    :func:`further_parents` lists the others.
     """
     real = links.filter("trim(node) <> ''")
     given = [F.col(component).alias("component")] if component else []
@@ -203,6 +217,13 @@ def build_hierarchy(
     return walked.unionByName(_doubling(everything.join(large, "component", "left_semi"), with_paths))
 
 
+def further_parents(links: DataFrame) -> DataFrame:
+    """(node, parent, n_parents): every stated parent of the nodes that have more than one, the one that counts included."""
+    real = links.filter("trim(node) <> '' and trim(parent) <> ''").select("node", "parent").distinct()
+    several = real.groupBy("node").agg(F.count("*").alias("n_parents")).filter("n_parents > 1")
+    return real.join(several, "node")
+
+
 def descendants(hierarchy: DataFrame) -> DataFrame:
     """(root, node, descendant, distance) for every node above another; from the paths, no join.
 
@@ -289,6 +310,14 @@ def supersession_links(nodes: DataFrame, governance: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def ambiguous_names(nodes: DataFrame) -> DataFrame:
+    """(name, id, n_documents): names by which a supersession could mean more than one document."""
+    docs = existing_nodes(nodes.filter("kind = 'document'"), ["file_path"])
+    names = docs.select(F.lower(stem(F.col("file_path"))).alias("name"), "id").distinct()
+    several = names.groupBy("name").agg(F.count("*").alias("n_documents")).filter("n_documents > 1")
+    return names.join(several, "name")
+
+
 def trees(nodes: DataFrame, governance: DataFrame, with_paths: bool = True) -> DataFrame:
     """Both trees of the collection: tree, node_id, parent, root_id, depth, path, n_descendants, on_cycle."""
     outline = build_hierarchy(outline_links(nodes), "file_path", with_paths).filter("depth > 0")

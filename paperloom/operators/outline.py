@@ -14,11 +14,15 @@ BLOCK_LINES = 4096
 def end_lines(g: Graph) -> DataFrame:
     """(id, last_line): the line before the next heading of the same or a smaller level, else the document's end.
 
+    Headings without a line stand at line 0, those without a level at level 1; levels outside 1 to 10 count as the nearest.
+
     Blocks of lines are scanned upwards on their own; what follows a block comes from block
     summaries, so one huge file spreads over many tasks.
     """
     nodes = g.nodes("kind", "file_path", "start_line", "end_line", "level").filter("kind in ('heading', 'document')")
-    heads = nodes.filter("kind = 'heading'").withColumn("block", F.floor(F.col("start_line") / BLOCK_LINES).cast("int"))
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(MAX_LEVEL))
+    heads = nodes.filter("kind = 'heading'").withColumns({"level": level, "start_line": F.coalesce("start_line", F.lit(0))})
+    heads = heads.withColumn("block", F.floor(F.col("start_line") / BLOCK_LINES).cast("int"))
     levels = range(1, MAX_LEVEL + 1)
     starts = {k: F.when(F.col("level") == k, F.col("start_line")) for k in levels}
     later = Window.partitionBy("file_path", "block").orderBy("start_line").rangeBetween(1, Window.unboundedFollowing)
@@ -26,7 +30,8 @@ def end_lines(g: Graph) -> DataFrame:
     summary = heads.groupBy("file_path", "block").agg(*[F.min(s).alias(f"first_{k}") for k, s in starts.items()])
     after = Window.partitionBy("file_path").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     carry = summary.select("file_path", "block", *[F.min(f"first_{k}").over(after).alias(f"from_{k}") for k in levels])
-    joined = here.join(carry, ["file_path", "block"])
+    carry = carry.withColumnsRenamed({"file_path": "_file", "block": "_block"})
+    joined = here.join(carry, F.col("file_path").eqNullSafe(F.col("_file")) & (F.col("block") == F.col("_block")))
     following = F.least(*[F.when(F.col("level") >= k, F.coalesce(f"in_{k}", f"from_{k}")) for k in levels])
     docs = nodes.filter("kind = 'document'").select(F.col("id").alias("file_path"), F.col("end_line").alias("doc_end"))
     return joined.withColumn("next", following).join(docs, "file_path", "left").select("id", F.coalesce(F.col("next") - 1, "doc_end").alias("last_line"))

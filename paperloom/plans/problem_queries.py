@@ -142,3 +142,51 @@ SELECT 'outline' AS tree, h.id AS node_id, h.file_path AS root_id, (1 + coalesce
 FROM heads h LEFT JOIN depths USING (id)
 UNION ALL
 SELECT 'supersession', m.id, coalesce(top, ''), coalesce(depth, -1)::INTEGER FROM members m LEFT JOIN up USING (id)"""
+
+#: Every (node, ancestor, steps): walks up that end at a root or where they would meet a node again.
+_WALKS = f"""{_CHAIN}{_OUTLINE},
+walk AS (SELECT id, id AS above, [id] AS path FROM members
+  UNION ALL SELECT w.id, l.parent, list_prepend(l.parent, w.path) FROM walk w JOIN links l ON l.child = w.above WHERE NOT list_contains(w.path, l.parent)),
+over AS (SELECT id, anc, start_line FROM above WHERE least IS NULL OR level < least),
+steps AS (SELECT h.id, h.file_path, coalesce(list(anc ORDER BY over.start_line) FILTER (WHERE anc IS NOT NULL), []) AS ups FROM heads h LEFT JOIN over USING (id) GROUP BY h.id, h.file_path),
+trail AS (SELECT id, file_path, list_prepend(file_path, ups) AS ups FROM steps),
+pairs AS (SELECT 'outline' AS tree, file_path AS root, unnest(ups) AS node, id AS descendant, len(ups) + 1 - generate_subscripts(ups, 1) AS distance FROM trail
+  UNION ALL SELECT 'supersession', coalesce(u.top, ''), w.above, w.id, len(w.path) - 1 FROM walk w LEFT JOIN up u USING (id) WHERE len(w.path) > 1)"""
+
+ORACLE["p4_descendants"] = f"{_WALKS} SELECT tree, root, node, descendant, distance::BIGINT AS distance FROM pairs"
+ORACLE["p4_paths"] = f"""{_WALKS}, n AS (SELECT tree, node, count(*) AS n FROM pairs GROUP BY ALL),
+whole AS (SELECT id, max(path) AS path FROM walk JOIN up USING (id) WHERE len(path) = depth + 1 GROUP BY id),
+lines AS (SELECT 'outline' AS tree, id AS node_id, ups[-1] AS parent, array_to_string(list_append(ups, id), ' > ') AS path FROM trail
+  UNION ALL SELECT 'supersession', m.id, l.parent, array_to_string(w.path, ' > ') FROM members m LEFT JOIN links l ON l.child = m.id LEFT JOIN whole w ON w.id = m.id)
+SELECT l.tree, node_id, parent, path, coalesce(n, 0)::BIGINT AS n_descendants FROM lines l LEFT JOIN n ON n.tree = l.tree AND n.node = l.node_id"""
+ORACLE["p4_circles"] = f"""{_CHAIN},
+loops AS (SELECT child AS id, parent AS reached, 1 AS k FROM links UNION SELECT c.id, l.parent, k + 1 FROM loops c JOIN links l ON l.child = c.reached WHERE c.reached <> c.id AND k < 1000),
+near AS (SELECT id, id AS other FROM members UNION SELECT n.id, CASE WHEN l.child = n.other THEN l.parent ELSE l.child END FROM near n JOIN links l ON n.other IN (l.child, l.parent))
+SELECT (SELECT min(other) FROM near WHERE near.id = l.child) AS component, child AS node_id, parent AS superseded_by FROM links l WHERE child IN (SELECT id FROM loops WHERE reached = id)"""
+_KEY = "regexp_replace(replace(lower(CASE WHEN contains({c}, '%') THEN coalesce(try(url_decode({c})), {c}) ELSE {c} END), '\\', '/'), '^(\\./)+', '')"
+_ORPHANS = f"""WITH RECURSIVE {_ALIVE},
+docs AS (SELECT * FROM alive WHERE kind = 'document'),
+node_keys AS (SELECT DISTINCT {_KEY.format(c='id')} AS key FROM alive),
+stems AS (SELECT lower(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]*$', '')) AS stem, lower(file_path) AS path, lower(name) AS name FROM docs),
+name_keys AS (SELECT stem AS key FROM stems UNION SELECT path FROM stems UNION SELECT regexp_replace(path, '\\.md$', '') FROM stems UNION SELECT name FROM stems WHERE name IS NOT NULL),
+latest AS (SELECT id, arg_max(file_path, updated_at) AS file FROM nodes GROUP BY id),
+seen AS (SELECT path, strftime(make_timestamp(1000000 * max(CASE WHEN abs(indexed_at) >= 100000000000000 THEN indexed_at // 1000000 WHEN abs(indexed_at) >= 100000000000 THEN indexed_at // 1000 ELSE indexed_at END)), '%Y-%m') AS period FROM files GROUP BY path),
+on_node AS (
+  SELECT 'edges' AS ref_table, 'target' AS field, id AS ref_id, {_KEY.format(c='target')} AS key, source, NULL::VARCHAR AS file FROM edges WHERE trim(target, E' \\t\\n') <> ''
+  UNION ALL SELECT 'unresolved_refs', 'from_node_id', id, {_KEY.format(c='from_node_id')}, NULL::VARCHAR, file_path FROM unresolved_refs WHERE trim(from_node_id, E' \\t\\n') <> ''),
+texts AS (
+  SELECT *, coalesce(reference_kind IN ('wikilink', 'embed'), false) AS wiki, regexp_extract(reference_text, '^([^#]*)', 1) AS t FROM unresolved_refs
+  WHERE trim(reference_text, E' \\t\\n') <> '' AND NOT regexp_matches(reference_text, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*:')),
+on_name AS (SELECT id, file_path, regexp_replace(lower(trim(regexp_extract(reference_text, '^([^|#]*)', 1))), '\\.md$', '') AS key FROM texts WHERE wiki),
+decoded AS (SELECT id, file_path, CASE WHEN contains(t, '%') THEN coalesce(try(url_decode(t)), t) ELSE t END AS t FROM texts WHERE NOT wiki AND t <> ''),
+parts AS (SELECT id, file_path, starts_with(t, '/') AS rooted, list_filter(string_split(lower(CASE WHEN starts_with(t, '/') THEN t ELSE regexp_replace(coalesce(file_path, ''), '[^/]*$', '') || t END), '/'), lambda x: x NOT IN ('', '.')) AS p FROM decoded),
+walk AS (SELECT id, file_path, rooted, p, 0 AS i, []::VARCHAR[] AS done FROM parts
+  UNION ALL SELECT id, file_path, rooted, p, i + 1, CASE WHEN p[i + 1] = '..' AND len(done) > 0 AND done[-1] <> '..' THEN done[1:len(done) - 1] ELSE list_append(done, p[i + 1]) END FROM walk WHERE i < len(p)),
+on_path AS (SELECT id, file_path, CASE WHEN rooted THEN '/' ELSE '' END || array_to_string(done, '/') AS key FROM walk WHERE i = len(p)),
+orphans AS (
+  SELECT ref_table, field, ref_id, 'node' AS space, key, CASE WHEN ref_table = 'edges' THEN l.file ELSE o.file END AS file FROM on_node o LEFT JOIN latest l ON l.id = o.source WHERE key NOT IN (SELECT key FROM node_keys)
+  UNION ALL SELECT 'unresolved_refs', 'reference_text', id, 'name', key, file_path FROM on_name WHERE key NOT IN (SELECT key FROM name_keys)
+  UNION ALL SELECT 'unresolved_refs', 'reference_text', id, 'path', key, file_path FROM on_path WHERE key NOT IN (SELECT path FROM stems))"""
+ORACLE["p5_found"] = f"{_ORPHANS} SELECT DISTINCT ref_table, field, ref_id, coalesce(period, 'unknown') AS period FROM orphans LEFT JOIN seen ON seen.path = orphans.file"
+ORACLE["p5_report"] = f"""{_ORPHANS} SELECT ref_table, field, coalesce(period, 'unknown') AS period, count(*) AS n_orphans, count(DISTINCT (space, key)) AS n_missing_keys
+FROM orphans LEFT JOIN seen ON seen.path = orphans.file GROUP BY ALL"""

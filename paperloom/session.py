@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.  ``spark.checkpoint.dir`` names it on a cluster; only where
-    that is unset (tests, a laptop) a temporary folder of this machine takes its place."""
+    Spark runs on this machine alone (tests, a laptop) a temporary folder takes its place."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("paperloom.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, own, True)
         spark.conf.set("paperloom.shared.dir", own)
     return own
 
@@ -35,12 +40,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table of the shared folder and read it back; :func:`release` removes it."""
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table this application has stored; what was read from them can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if its input comes in fewer than half as many parts (a single small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def newest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first in ``order``.  The row limit is applied before the shuffle as
     well, so a key that holds a third of all rows sends one row per input partition."""

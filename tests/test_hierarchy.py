@@ -3,6 +3,8 @@ import random
 import pytest
 
 from paperloom.operators import hierarchy as h
+from paperloom.operators import outline
+from paperloom.tables import Graph
 
 
 def brute(links):
@@ -48,12 +50,27 @@ def test_against_brute_force(spark, most):
     got = {r.node: (r.root, r.depth, tuple(r.path) if r.path else None, r.n_descendants) for r in rows}
     assert got == want
     assert {r.node for r in rows if r.on_cycle} == circle
-    slim = {r.node: (r.root, r.depth) for r in h.build_hierarchy(df, with_paths=False, max_component=most).collect()}
-    assert slim == {n: w[:2] for n, w in want.items()}
+    slim = {r.node: (r.root, r.depth, r.n_descendants) for r in h.build_hierarchy(df, with_paths=False, max_component=most).collect()}
+    assert slim == {n: (w[0], w[1], w[3]) for n, w in want.items()}
     pairs = h.descendants(h.build_hierarchy(df, max_component=most))
     assert pairs.count() == sum(w[1] for w in want.values() if w[1] > 0)
 
 
+def test_every_parent_is_told(spark):
+    links = spark.createDataFrame([("a", "p"), ("a", "q"), ("a", "q"), ("b", "p"), ("c", None), ("a", " ")], "node string, parent string")
+    assert {tuple(r) for r in h.further_parents(links).collect()} == {("a", "p", 2), ("a", "q", 2)}
+    docs = [node(f"{d}/x.md", "document", f"{d}/X.md") for d in "pq"] + [node("p/y.md", "document", "p/y.md")]
+    assert {tuple(r) for r in h.ambiguous_names(spark.createDataFrame(docs, NODES)).collect()} == {("x", "p/x.md", 2), ("x", "q/x.md", 2)}
+
+
+def test_heading_ends_with_nulls_and_deep_levels(spark, tmp_path):
+    rows = [node("f.md", "document", "f.md", 1, 0)[:6] + (40,) + node("f.md", "document", "f.md")[7:]]
+    rows += [node("h0", "heading", "f.md", None, 2), node("h1", "heading", "f.md", 5, 11), node("h2", "heading", "f.md", 9, 11), node("h3", "heading", "f.md", 12, None), node("h4", "heading", None, 3, 1)]
+    spark.createDataFrame(rows, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {r.id: r.last_line for r in outline.end_lines(Graph(spark, str(tmp_path))).collect()}
+    assert got == {"h0": 11, "h1": 8, "h2": 11, "h3": 40, "h4": None}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(f"v{rng.randrange(300):03d}", f"v{rng.randrange(300):03d}") for _ in range(180)] + [(f"w{i:03d}", f"w{i + 1:03d}") for i in range(100)]
