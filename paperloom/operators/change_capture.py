@@ -11,7 +11,7 @@ the key only if its digest differs from the digest the sink already holds.
 Two forms share these rules:
 
 * :func:`plan_batches` and :func:`replay` evaluate a whole history of runs in one pass.
-* :class:`ChangeFeed` performs one run at a time with plan, sink and commit files on shared storage.
+* :class:`ChangeFeed` performs one run at a time with plan, sink, held and commit files on shared storage.
 
 Defined results: rows without key, offset or digest are no versions; of versions with the same key
 and offset the greatest digest counts; repeated rows count once; an empty log or no succeeded run
@@ -21,13 +21,15 @@ gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import epoch_seconds, stored
 
-PARTITIONS = 32
+PARTITIONS, COMPACT = 32, 8
+_ENTRY = "path string, version long, digest string"
 
 
 def digest(column: str = "content_hash") -> F.Column:
@@ -37,10 +39,13 @@ def digest(column: str = "content_hash") -> F.Column:
 
 
 def change_log(files: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """(log_partition, path, log_offset, digest): one entry per recorded version."""
-    entries = files.select(
-        F.col("path"), epoch_seconds("indexed_at").alias("log_offset"), digest("content_hash").alias("digest")
-    ).dropna()
+    """(log_partition, path, log_offset, version, digest): one entry per recorded version.
+
+    A record arrives when it is recorded, so its second is its offset as well as its version; a source that
+    numbers its records as they arrive gives ``log_offset`` itself.
+    """
+    at = epoch_seconds("indexed_at")
+    entries = files.select(F.col("path"), at.alias("log_offset"), at.alias("version"), digest("content_hash").alias("digest")).dropna()
     return entries.withColumn("log_partition", F.pmod(F.xxhash64("path"), F.lit(partitions)).cast("int"))
 
 
@@ -100,23 +105,34 @@ def changed_by_run(files: DataFrame, runs: DataFrame, partitions: int = PARTITIO
 class ChangeFeed:
     """One incremental run at a time over a change log, exactly once, with state on shared storage.
 
-    ``folder`` holds ``plans/<run>.json`` (write-ahead), ``sink/run=<run>`` (delivered entries) and
-    ``commits/<run>.json``.  A run that dies after its plan leaves a plan without a commit; the next
-    run replays that range.  Half-written sink folders of uncommitted runs are ignored and replaced.
+    The offset of an entry is its place in the order of arrival within its partition; ``version`` tells
+    which entry of a key is the newest.  An entry that arrives late has a new offset and an old version:
+    it is taken once and changes nothing if a newer version is held already.
+
+    ``folder`` holds
+
+    * ``plans/<number>-<run>.json``, the batch of a run, written before it works: a range of offsets per partition;
+    * ``sink/run=<run>``, what a run delivers: the keys whose digest the run changes, with their newest entry;
+    * ``held/<number>``, the entries that a run took, newest per key; every ``COMPACT`` commits they are
+      put together with all before them, so a run reads one full table and a few small ones;
+    * ``commits/<number>-<run>.json``: the offsets reached and the tables that are held from here on.
+
+    A run that dies leaves its plan behind without a commit.  The next run replays every such plan as it
+    was written, whatever its own end is, then its own; what the dead run left in sink or held is written
+    over.  A run that is committed is not repeated.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, partitions: int = PARTITIONS):
-        self.spark, self.folder, self.partitions = spark, folder.rstrip("/"), partitions
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, folder: str, partitions: int = PARTITIONS, compact: int = COMPACT):
+        self.spark, self.folder, self.partitions, self.compact = spark, folder.rstrip("/"), partitions, compact
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _names(self, kind: str) -> list[str]:
         at = self._path(f"{self.folder}/{kind}")
-        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.endswith(".json")) if self._fs.exists(at) else []
 
-    def _put(self, kind: str, run: str, value: dict) -> None:
-        target, draft = self._path(f"{self.folder}/{kind}/{run}.json"), self._path(f"{self.folder}/{kind}/.{run}.draft")
+    def _put(self, kind: str, name: str, value: dict) -> None:
+        target, draft = self._path(f"{self.folder}/{kind}/{name}.json"), self._path(f"{self.folder}/{kind}/{name}.draft")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
@@ -124,52 +140,100 @@ class ChangeFeed:
         if not self._fs.rename(draft, target):
             raise OSError(f"cannot write {target}")
 
-    def _get(self, kind: str, run: str) -> dict:
-        rows = self.spark.read.text(f"{self.folder}/{kind}/{run}.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+    def _get(self, kind: str, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{kind}/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+
+    def state(self) -> dict:
+        """The last commit: number, run, offsets by partition (a fixed number of them), held tables."""
+        names = self._names("commits")
+        return self._get("commits", names[-1]) if names else {"number": 0, "run": None, "offsets": {}, "held": []}
 
     def committed(self) -> list[str]:
-        return sorted(n.removesuffix(".json") for n in self._names("commits") if n.endswith(".json"))
-
-    def offsets(self) -> dict[str, int]:
-        """Last committed offset by partition (number of partitions is fixed, so this is bounded)."""
-        done = [self._get("commits", r) for r in self.committed()]
-        return max(done, key=lambda c: c["sequence"])["offsets"] if done else {}
-
-    def held(self) -> DataFrame:
-        """What the sink holds: per key the entry with the greatest offset."""
-        folders = [f"{self.folder}/sink/run={r}" for r in self.committed()]
-        schema = "path string, log_offset long, digest string, log_partition int"
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return rows.groupBy("path").agg(F.max(F.struct("log_offset", "digest")).alias("entry")).select("path", "entry.*")
-
-    def run(self, run: str, log: DataFrame, cutoff: int, work=None) -> DataFrame:
-        """Deliver what is new or changed up to ``cutoff``; ``work(batch)`` may raise to fail the run."""
-        if run not in self.committed():
-            start = self.offsets()
-            plan = {str(p): [start.get(str(p)), cutoff] for p in range(self.partitions)}
-            self._put("plans", run, plan)
-            bounds = self.spark.createDataFrame(
-                [(int(p), a, b) for p, (a, b) in plan.items()], "log_partition int, from_offset long, to_offset long"
-            )
-            batch = log.join(F.broadcast(bounds), "log_partition").filter(
-                (F.col("log_offset") <= F.col("to_offset"))
-                & (F.col("from_offset").isNull() | (F.col("log_offset") > F.col("from_offset")))
-            )
-            last = batch.groupBy("path", "log_partition").agg(F.max(F.struct("log_offset", "digest")).alias("entry"))
-            before = self.held().select("path", F.col("digest").alias("held"))
-            fresh = last.join(before, "path", "left").filter(
-                F.col("held").isNull() | (F.col("held") != F.col("entry.digest"))
-            )
-            fresh = fresh.select("path", "entry.*", "log_partition")
-            fresh.write.mode("overwrite").parquet(f"{self.folder}/sink/run={run}")
-            if work:
-                work(self.delivered(run))
-            self._put(
-                "commits", run, {"sequence": len(self.committed()), "offsets": {p: b for p, (_, b) in plan.items()}}
-            )
+        return [n.removesuffix(".json").split("-", 1)[1] for n in self._names("commits")]
+
+    def pending(self, number: int) -> list[dict]:
+        """Plans after commit ``number``, in the order they were written."""
+        return [self._get("plans", n) for n in self._names("plans") if int(n.split("-", 1)[0]) > number]
+
+    def held(self, state: dict | None = None) -> DataFrame:
+        """(path, version, digest): per key the newest entry of all committed runs."""
+        folders = [f"{self.folder}/{name}" for name in (state or self.state())["held"]]
+        rows = self.spark.read.schema(_ENTRY).parquet(*folders) if folders else self.spark.createDataFrame([], _ENTRY)
+        return rows.groupBy("path").agg(F.max(F.struct("version", "digest")).alias("entry")).select("path", "entry.*")
+
+    def plan(self, run: str, log: DataFrame, upto: int | None) -> list[dict]:
+        """Plans to replay and, behind them, the one for ``run`` up to ``upto`` (or all that has arrived)."""
+        state = self.state()
+        plans = self.pending(state["number"])
+        start = {**state["offsets"], **{p: b for plan in plans for p, (_, b) in plan["ranges"].items()}}
+        if upto is None:
+            ends = {str(r["log_partition"]): r["n"] for r in log.groupBy("log_partition").agg(F.max("log_offset").alias("n")).collect()}
+        else:
+            ends = {str(p): upto for p in range(self.partitions)}
+        ranges = {p: [start.get(p), end] for p, end in ends.items() if start.get(p) is None or end > start[p]}
+        own = {"number": state["number"] + len(plans) + 1, "run": run, "ranges": ranges}
+        self._put("plans", f"{own['number']:08d}-{run}", own)
+        return [*plans, own]
+
+    def run(self, run: str, log: DataFrame, upto: int | None = None, work=None) -> DataFrame:
+        """Deliver what is new or changed up to ``upto``; ``work(batch)`` may raise to fail the run.
+
+        ``log`` is as made by :func:`change_log`: log_partition, path, log_offset, version, digest.
+        """
+        if run in self.committed():
+            return self.delivered(run)
+        plans, state = self.plan(run, log, upto), self.state()
+        number = plans[-1]["number"]
+        rows = [(int(p), a, b) for plan in plans for p, (a, b) in plan["ranges"].items()]
+        bounds = self.spark.createDataFrame(rows, "log_partition int, from_offset long, to_offset long")
+        inside = (F.col("log_offset") <= F.col("to_offset")) & (F.col("from_offset").isNull() | (F.col("log_offset") > F.col("from_offset")))
+        batch = log.join(F.broadcast(bounds), "log_partition").filter(inside)  # plans x partitions rows
+        taken = batch.groupBy("path").agg(F.max(F.struct("version", "digest")).alias("entry")).select("path", "entry.*")
+        delta = f"held/{number:08d}"
+        taken.write.mode("overwrite").parquet(f"{self.folder}/{delta}")
+        taken = self.spark.read.schema(_ENTRY).parquet(f"{self.folder}/{delta}")
+        before = self.held(state).select("path", F.col("version").alias("_version"), F.col("digest").alias("_digest"))
+        newer = F.col("_digest").isNull() | ((F.col("version") >= F.col("_version")) & (F.col("digest") != F.col("_digest")))
+        fresh = taken.join(before, "path", "left").filter(newer).select("path", "version", "digest")
+        fresh.write.mode("overwrite").parquet(f"{self.folder}/sink/run={run}")
+        if work:
+            work(self.delivered(run))
+        held = [*state["held"], delta]
+        if len(held) > self.compact:
+            whole = f"held/{number:08d}-all"
+            self.held({"held": held}).write.mode("overwrite").parquet(f"{self.folder}/{whole}")
+            held = [whole]
+        reached = {**state["offsets"], **{p: b for plan in plans for p, (_, b) in plan["ranges"].items()}}
+        self._put("commits", f"{number:08d}-{run}", {"number": number, "run": run, "offsets": reached, "held": held})
+        for plan in plans:
+            self._drop(f"plans/{plan['number']:08d}-{plan['run']}.json")
+        for name in {*state["held"], delta} - set(held):
+            self._drop(name)
         return self.delivered(run)
 
     def delivered(self, run: str) -> DataFrame:
-        schema = "path string, log_offset long, digest string, log_partition int"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/sink/run={run}")
+        return self.spark.read.schema(_ENTRY).parquet(f"{self.folder}/sink/run={run}")
+
+
+def feed_history(files: DataFrame, runs: DataFrame, folder: str, partitions: int = PARTITIONS) -> DataFrame:
+    """(run_id, path, version, digest): the runs of a small fixed table, one after the other, through a feed.
+
+    Runs that did not succeed fail after they have written their batch, as theirs did.
+    """
+    log = change_log(files, partitions)
+    feed, parts = ChangeFeed(files.sparkSession, folder, partitions), []
+    began = runs.filter("started_at is not null").select("run_id", "status", F.unix_seconds(F.col("started_at").cast("timestamp")).alias("cutoff"))
+    for r in sorted(began.collect(), key=lambda r: (r["cutoff"], r["run_id"])):
+        if r["status"] == "succeeded":
+            parts.append(feed.run(str(r["run_id"]), log, r["cutoff"]).select(F.lit(r["run_id"]).alias("run_id"), "*"))
+        else:
+            feed.plan(str(r["run_id"]), log, r["cutoff"])
+    empty = files.sparkSession.createDataFrame([], f"run_id int, {_ENTRY}")
+    return reduce(DataFrame.unionByName, parts, empty)

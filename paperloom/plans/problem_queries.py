@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import change_capture, hierarchy, orphans, timestamps
-from paperloom.session import read
+from paperloom.session import read, shared_dir
 
 
 def p1_found(spark, d):
@@ -17,6 +19,11 @@ def p1_delivered_per_run(spark, d):
     return changed.groupBy("run_id").agg(F.count("*").alias("n_paths"), F.countDistinct("digest").alias("n_digests"))
 
 
+def p1_feed(spark, d):
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    return change_capture.feed_history(read(spark, d, "files"), read(spark, d, "index_runs"), folder).select("run_id", "path")
+
+
 def _dates(spark, d):
     tables = (read(spark, d, t) for t in ("governance_metadata", "research_metadata", "project_zones"))
     return timestamps.metadata_dates(*tables)
@@ -65,7 +72,7 @@ def p5_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_delivered_per_run, p2_found, p2_status_counts, p4_found, p4_paths, p4_descendants, p4_circles, p5_found, p5_report)
+    for f in (p1_found, p1_delivered_per_run, p1_feed, p2_found, p2_status_counts, p4_found, p4_paths, p4_descendants, p4_circles, p5_found, p5_report)
 }
 
 _VERSIONS = """
@@ -91,6 +98,7 @@ changed AS (
 
 ORACLE = {
     "p1_found": f"WITH {_VERSIONS} SELECT run_id, path FROM changed",
+    "p1_feed": f"WITH {_VERSIONS} SELECT run_id, path FROM changed",
     "p1_delivered_per_run": f"""WITH {_VERSIONS}
 SELECT run_id, count(*) AS n_paths, count(DISTINCT now_digest) AS n_digests FROM changed GROUP BY run_id""",
 }

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import change_capture as cc
 
@@ -76,3 +77,52 @@ def test_feed_survives_failures(spark, tmp_path):
         assert again <= got
         runs.append((i, cutoff, "succeeded"))
     assert got == expected(files, runs)
+
+
+def entries(spark, rows):
+    """A log of (path, arrival, version, digest) in two partitions."""
+    df = spark.createDataFrame(rows, "path string, log_offset long, version long, digest string")
+    return df.withColumn("log_partition", F.pmod(F.xxhash64("path"), F.lit(2)).cast("int"))
+
+
+def fail(batch):
+    raise RuntimeError("lost")
+
+
+def test_late_records_and_plans_are_replayed(spark, tmp_path):
+    feed = cc.ChangeFeed(spark, str(tmp_path / "feed"), 2)
+    log = [("a", 10, 10, "x"), ("b", 12, 12, "y")]
+    assert {r.path for r in feed.run("1", entries(spark, log), 20).collect()} == {"a", "b"}
+    # late: a new key with an old version, an old version of a known key, and a change; the run dies before its commit
+    log += [("c", 31, 15, "z"), ("a", 32, 5, "old"), ("b", 33, 33, "y2")]
+    with pytest.raises(RuntimeError):
+        feed.run("2", entries(spark, log), 40, work=fail)
+    log += [("d", 38, 38, "w"), ("e", 50, 50, "v")]
+    got = feed.run("3", entries(spark, log), 35).collect()  # an earlier end than the plan that is replayed
+    assert {(r.path, r.digest) for r in got} == {("c", "z"), ("b", "y2"), ("d", "w")} and not feed.pending(feed.state()["number"])
+    feed.plan("4", entries(spark, log), 60)  # dies after its plan
+    again = cc.ChangeFeed(spark, str(tmp_path / "feed"), 2)
+    assert {r.path for r in again.run("5", entries(spark, log)).collect()} == {"e"}
+    assert again.run("6", entries(spark, log)).count() == 0 and {r.path for r in again.delivered("3").collect()} == {"b", "c", "d"}
+    assert {(r.path, r.version) for r in again.held().collect()} == {("a", 10), ("b", 33), ("c", 15), ("d", 38), ("e", 50)}
+
+
+def test_failure_between_sink_and_commit(spark, tmp_path, monkeypatch):
+    feed = cc.ChangeFeed(spark, str(tmp_path / "feed"), 2)
+    log = entries(spark, [("a", 1, 1, "x"), ("b", 2, 2, "y")])
+    put = feed._put
+    monkeypatch.setattr(feed, "_put", lambda kind, *rest: fail(None) if kind == "commits" else put(kind, *rest))
+    with pytest.raises(RuntimeError):
+        feed.run("1", log, 5)
+    monkeypatch.undo()
+    assert {r.path for r in feed.run("1", log, 5).collect()} == {"a", "b"} and feed.committed() == ["1"]
+
+
+def test_state_stays_small(spark, tmp_path):
+    feed = cc.ChangeFeed(spark, str(tmp_path / "feed"), 2, compact=2)
+    log = entries(spark, [(f"p{i % 3}", i, i, str(i)) for i in range(8)])
+    for i in range(8):
+        assert [r.path for r in feed.run(str(i), log, i).collect()] == [f"p{i % 3}"]
+        assert len(feed.state()["held"]) <= 2 and not feed._names("plans")
+    folders = [p.name for p in (tmp_path / "feed" / "held").iterdir() if p.is_dir()]
+    assert len(folders) <= 3 and feed.held().count() == 3
