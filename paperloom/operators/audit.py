@@ -163,6 +163,7 @@ def stale_by_git(g: Graph, as_of: str, days: int = GIT_DAYS) -> DataFrame:
 
 def all_findings(g: Graph, as_of: str) -> DataFrame:
     """Every finding, with the position of its finder as ``finder``."""
+    g = g.settled()
     finders = [
         stale_review(g, as_of), superseded_referenced(g), duplicate(g), non_canonical(g), conflicting(g), stale_assessment(g, as_of),
         unverified_evidence(g, as_of), competing_interpretations(g), superseded_claim(g), impacted_deliverable(g, as_of), missing_symbol(g),

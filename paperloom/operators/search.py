@@ -15,15 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import newest
-from paperloom.tables import REFERENCES, Graph
+from paperloom.session import newest, stored
+from paperloom.tables import GOVERNANCE, REFERENCES, RESEARCH, Graph
 
 #: Column weights of the text index and of the field ranking.
 NODE_WEIGHTS = {"name": 8.0, "qualified_name": 5.0, "body_excerpt": 2.0, "metadata": 3.0}
 SECTION_WEIGHTS = {"heading_path": 6.0, "text": 1.0}
 FIELD_WEIGHTS = {"name": 12.0, "heading_path": 10.0, "qualified_name": 6.0, "metadata": 5.0, "body_excerpt": 3.0, "text": 2.0}
 EXPANSION_WEIGHTS = {"name": 2.0, "heading_path": 2.0, "text": 0.75}
-K1, B, IDF_FLOOR, BOOST_CAP = 1.2, 0.75, 1e-6, 12.0
+K1, B, IDF_FLOOR, BOOST_CAP, MOST_HITS = 1.2, 0.75, 1e-6, 12.0, 100
+#: Fields of the metadata that hits can be held to; the last two are an audience and a day.
+EQUAL_FILTERS = {"status": "g", "sensitivity": "g", "canonical_source": "g", "claim_id": "r", "source_type": "r", "confidence": "r", "analyst_status": "r"}
+FILTERS = {*EQUAL_FILTERS, "allowed_audience", "as_of"}
 
 
 def query_terms(query: str) -> list[str]:
@@ -39,6 +42,15 @@ class Request:
     limit: int = 20
     include_code: bool = False
     filters: dict[str, str] = field(default_factory=dict)
+    entity_id: str = ""
+    entity_type: str = ""
+    candidates: int | None = None
+
+    def __post_init__(self):
+        unknown = set(self.filters) - FILTERS
+        if unknown:
+            raise ValueError(f"no such filter: {', '.join(sorted(unknown))}")
+        object.__setattr__(self, "limit", min(max(self.limit, 1), MOST_HITS))
 
     @property
     def text(self) -> str:
@@ -50,7 +62,8 @@ class Request:
 
     @property
     def cap(self) -> int:
-        return min(max(self.limit * 8, 40), 200)
+        """Candidates of each collector: the reference's rule, or as many as ``candidates`` says."""
+        return min(max(self.limit * 8, 40), 200) if self.candidates is None else self.candidates
 
     @property
     def short(self) -> bool:
@@ -65,9 +78,14 @@ class Request:
 
 
 def sections(g: Graph) -> DataFrame:
-    """One section row per node id."""
-    rows = g.table("section_chunks").select("node_id", "file_path", "start_line", "heading_path", "text")
-    return newest(rows, ["node_id"], [F.col("text").desc_nulls_last(), "heading_path"])
+    """One section row per node id; a settled graph stores them once."""
+    made = g.__dict__.get("_sections")
+    if made is None:
+        rows = g.table("section_chunks").select("node_id", "file_path", "start_line", "heading_path", "text")
+        made = newest(rows, ["node_id"], [F.col("text").desc_nulls_last(), "heading_path"])
+        if g.is_settled:
+            made = g.__dict__["_sections"] = stored(made, "newest-sections")
+    return made
 
 
 def visible(nodes: DataFrame, request: Request) -> DataFrame:
@@ -85,20 +103,21 @@ def _count(column: str, term: str) -> Column:
 
 
 def bm25(rows: DataFrame, weights: dict[str, float], terms: list[str]) -> DataFrame:
-    """Rows that contain a term, with ``rank`` (negative, least is best).
+    """Rows that contain a term, with ``rank`` (negative, least is best), without the weighted columns.
 
-    Substring counts over weighted columns; lengths in character triples.  The statistics are one
-    pre-aggregated row (terms are at most 32), read to the driver.
+    Substring counts over weighted columns; lengths in character triples.  The texts are read once: their counts
+    are stored, and give the statistics (one row for at most 32 terms, read to the driver) and the ranks.
     """
     terms = [t for t in terms if len(t) >= 3][:32]
+    kept = [c for c in rows.columns if c not in weights]
     if not terms:
-        return rows.limit(0).withColumn("rank", F.lit(0.0))
+        return rows.select(*kept, F.lit(0.0).alias("rank")).limit(0)
     size = reduce(lambda a, b: a + b, [F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in weights])
     found = [reduce(lambda a, b: a + b, [_count(c, t) * w for c, w in weights.items()]) for t in terms]
-    counted = rows.select("*", F.inline(F.array(F.struct(size.alias("_size"), *[f.alias(f"_f{i}") for i, f in enumerate(found)]))))
+    counted = stored(rows.select(*kept, size.alias("_size"), *[f.alias(f"_f{i}") for i, f in enumerate(found)]), "term-counts")
     facts = counted.agg(F.count("*").alias("n"), F.avg("_size").alias("size"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
     if not facts["n"]:
-        return rows.limit(0).withColumn("rank", F.lit(0.0))
+        return counted.select(*kept, F.lit(0.0).alias("rank"))
     import math
 
     rank = F.lit(0.0)
@@ -108,7 +127,7 @@ def bm25(rows: DataFrame, weights: dict[str, float], terms: list[str]) -> DataFr
         f = F.col(f"_f{i}")
         rank = rank - F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_size") / F.lit(float(facts["size"] or 1.0))))
     hit = reduce(lambda a, b: a | b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])
-    return counted.filter(hit).withColumn("rank", rank).select(*rows.columns, "rank")
+    return counted.filter(hit).select(*kept, rank.alias("rank"))
 
 
 def _candidates(df: DataFrame, source: str, score: Column, rank: Column | None = None) -> DataFrame:
@@ -121,7 +140,7 @@ def node_hits(g: Graph, request: Request, terms: list[str]) -> DataFrame:
 
 
 def section_hits(g: Graph, request: Request, terms: list[str]) -> DataFrame:
-    ranked = bm25(sections(g), SECTION_WEIGHTS, terms)
+    ranked = bm25(sections(g).select("node_id", *SECTION_WEIGHTS), SECTION_WEIGHTS, terms)
     nodes = visible(g.nodes("kind", "file_path"), request).select("id")
     return ranked.withColumnRenamed("node_id", "id").join(nodes, "id").orderBy(F.round("rank", 9), "id").limit(request.cap)
 
@@ -175,13 +194,47 @@ def definition_hits(g: Graph, request: Request, terms: list[str]) -> DataFrame:
     return place.distinct().groupBy("id").agg(F.count("*").alias("n_terms")).join(real, "id")
 
 
+def _day(c: str) -> Column:
+    return F.try_to_date(F.regexp_extract(F.trim(F.col(c)), r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+
+
+def matching(g: Graph, ids: DataFrame, request: Request) -> DataFrame:
+    """The rows of ``ids`` whose own governance and research rows meet every filter of the request.
+
+    A value must be equal but for case and surrounding blanks, and a node without the row fails.  An audience passes where the
+    node is public or its list names it, ``all``, ``*`` or ``public``.  As of a day, what takes effect later and
+    research that has lapsed drop out; nodes without dates stay.
+    """
+    if not request.filters:
+        return ids
+    gov, res = g.governance.select(F.col("node_id").alias("id"), *GOVERNANCE), g.research.select(F.col("node_id").alias("id"), *RESEARCH)
+    rows = ids.join(gov, "id", "left").join(res, "id", "left")
+    signal = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    for name, value in request.filters.items():
+        wanted = value.strip().lower()
+        if not wanted:
+            continue
+        if name in EQUAL_FILTERS:
+            rows = rows.filter(signal(F.col(name)) == wanted)
+        elif name == "allowed_audience":
+            listed = F.transform(F.split(F.regexp_replace("allowed_audience", r"""[\[\]"']""", ""), r"[,;\n]"), signal)
+            rows = rows.filter((signal(F.col("sensitivity")) == "public") | F.coalesce(F.arrays_overlap(listed, F.array(*map(F.lit, (wanted, "all", "*", "public")))), F.lit(False)))
+        else:
+            day = F.lit(wanted).cast("date")
+            rows = rows.filter(~F.coalesce(_day("effective_date") > day, F.lit(False)) & ~F.coalesce(_day("valid_until") < day, F.lit(False)))
+    return rows.select(*ids.columns)
+
+
+def entity_hits(g: Graph, request: Request, mentioned: DataFrame) -> DataFrame:
+    """(id): nodes that mention the asked entity, or any entity of the asked type; ``mentioned`` (entity_id, entity_type, node_id)."""
+    asked = F.col("entity_id") == request.entity_id if request.entity_id else F.col("entity_type") == request.entity_type
+    return mentioned.filter(asked).select(F.col("node_id").alias("id")).distinct()
+
+
 def filtered_hits(g: Graph, request: Request) -> DataFrame:
-    """Documents whose governance or research fields equal the filters and that hold every term."""
+    """Documents that meet the filters and hold every term."""
     docs = g.nodes("kind", *NODE_WEIGHTS).filter("kind = 'document'")
-    meta = g.governance.join(g.research, "node_id", "full")
-    for name, value in request.filters.items():
-        meta = meta.filter(F.lower(F.trim(F.col(name))) == value.strip().lower())
-    kept = docs.join(meta.select(F.col("node_id").alias("id")), "id", "left_semi")
+    kept = docs.join(matching(g, docs.select("id"), request), "id", "left_semi")
     kept = kept.join(sections(g).select(F.col("node_id").alias("id"), "text"), "id", "left")
     own, text = F.lower(F.concat_ws("\n", *NODE_WEIGHTS)), F.lower(F.coalesce("text", F.lit("")))
     every = lambda c: reduce(lambda a, b: a & b, [c.contains(t) for t in request.terms], F.lit(True))
@@ -196,17 +249,19 @@ def expansion_names(g: Graph, term: str, most: int = 12) -> DataFrame:
 def expand(g: Graph, request: Request, most: int = 32) -> list[str]:
     """Further terms from the names that contain a term: twelve names per term come to the driver."""
     seen, out = set(request.terms), []
-    for term in request.terms:
-        for row in expansion_names(g, term).collect():
-            for more in query_terms(row["name"] or ""):
-                if more not in seen and len(out) < most:
-                    seen.add(more)
-                    out.append(more)
+    if not request.terms:
+        return out
+    parts = [expansion_names(g, term).select(F.lit(i).alias("i"), "name") for i, term in enumerate(request.terms)]  # one job for all terms
+    for row in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (r["i"], len(r["name"] or ""), r["name"] or "")):
+        for more in query_terms(row["name"] or ""):
+            if more not in seen and len(out) < most:
+                seen.add(more)
+                out.append(more)
     return out
 
 
-def candidates(g: Graph, request: Request, expanded: list[str]) -> DataFrame:
-    """(id, score, rank, sources, filename) of all collectors, merged by id."""
+def candidates(g: Graph, request: Request, expanded: list[str], mentioned: DataFrame | None = None) -> DataFrame:
+    """(id, score, rank, sources, filename) of all collectors, merged by id and held to the filters."""
     terms = [*request.terms, *expanded]
     boost = F.when(F.col("rank") < 0, F.least(-F.col("rank"), F.lit(BOOST_CAP))).otherwise(1 / (1 + F.col("rank")))
     parts = []
@@ -225,8 +280,11 @@ def candidates(g: Graph, request: Request, expanded: list[str]) -> DataFrame:
         parts.append(_candidates(hits, "definition_context", F.col("n_terms") * 18))
     if request.filters:
         parts.append(_candidates(filtered_hits(g, request), "metadata_filter", F.lit(16.0)))
+    if mentioned is not None and (request.entity_id or request.entity_type):
+        parts.append(_candidates(entity_hits(g, request, mentioned).orderBy("id").limit(request.cap), "entity_filter", F.lit(16.0)))
     merged = reduce(DataFrame.unionByName, parts).groupBy("id")
-    return merged.agg(F.sum("score").alias("score"), F.min("rank").alias("rank"), F.sort_array(F.collect_set("source")).alias("sources"))
+    found = merged.agg(F.sum("score").alias("score"), F.min("rank").alias("rank"), F.sort_array(F.collect_set("source")).alias("sources"))
+    return matching(g, found, request)
 
 
 def graph_signals(g: Graph, ids: DataFrame, terms: list[str]) -> DataFrame:
@@ -265,10 +323,15 @@ def field_score(request: Request, expanded: list[str]) -> Column:
     return total
 
 
-def search(g: Graph, request: Request, expanded: list[str] | None = None) -> DataFrame:
-    """The ranked hits: place, id, kind, name, file_path, start_line, score."""
+def search(g: Graph, request: Request, expanded: list[str] | None = None, mentioned: DataFrame | None = None) -> DataFrame:
+    """The ranked hits: place, id, kind, name, file_path, start_line, score.
+
+    The collectors share one stored table of newest nodes; the candidates, a few hundred, are stored before they
+    meet their rows, their edges and their history.
+    """
+    g = g.settled()
     expanded = expand(g, request) if expanded is None else expanded
-    found = candidates(g, request, expanded)
+    found = stored(candidates(g, request, expanded, mentioned), "search-candidates")
     rows = g.nodes("kind", "name", "qualified_name", "file_path", "start_line", "metadata", "body_excerpt").join(F.broadcast(found), "id")
     rows = rows.join(sections(g).select(F.col("node_id").alias("id"), "heading_path", "text"), "id", "left")
     rows = rows.join(graph_signals(g, found.select("id"), request.terms), "id", "left").na.fill(0, ["n_in", "n_out", "n_tags"])

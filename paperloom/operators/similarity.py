@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
@@ -49,11 +48,9 @@ def tfidf(docs: DataFrame) -> DataFrame:
 
 
 def features(g: Graph) -> DataFrame:
-    """(id, text, targets, tags) of every document; targets are those of the document node itself, at most 10,000."""
+    """(id, text, targets, tags) of every document; targets are those of the document node itself."""
     docs = g.documents("name", "metadata", "body_excerpt")
     linked = g.edges.filter(F.col("kind").isin(REFERENCES)).filter("target is not null").select(F.col("source").alias("id"), "target").distinct()
-    w = Window.partitionBy("id").orderBy("target")
-    linked = linked.withColumn("n", F.row_number().over(w)).filter("n <= 10000")  # the reference's own bound on a target set
     sets = linked.groupBy("id").agg(F.sort_array(F.collect_set("target")).alias("targets"))
     tags = F.transform(F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>"), lambda t: F.lower(t))
     none = F.array().cast("array<string>")
@@ -75,8 +72,9 @@ def classes(feats: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("class_id")), "k").select("id", "class_id")
 
 
-def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b with a cosine of at least ``least`` (over 0).
+def cosine_pairs(weights: DataFrame, least: float) -> DataFrame | None:
+    """(a, b, cosine) of all pairs a < b with a cosine of at least ``least`` (over 0); null if no document frequency
+    splits the terms well enough, which leaves the pairs to :func:`block_pairs`.
 
     Terms are split at one document frequency into rare and common ones, so that few documents have a
     common part of length ``least`` or more.  The dot product over rare terms is summed by joining
@@ -94,6 +92,8 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     heavy = unit.groupBy("id").agg(*[length(m).alias(f"c{m}") for m in marks]) if marks else None
     shares = heavy.agg(*[F.avg((F.col(f"c{m}") >= least * least * 0.999999).cast("double")).alias(f"c{m}") for m in marks]).first() if marks else {}
     split = next((m for m in marks if (shares[f"c{m}"] or 0) <= 0.05), None)
+    if split is None and marks:
+        return None
     is_rare = F.lit(True) if split is None else F.col("df") <= split
     common = unit.groupBy("id").agg(F.sqrt(F.sum(F.when(is_rare, 0.0).otherwise(F.col("w") * F.col("w")))).alias("c"))
     posts = stored(unit.withColumn("rare", is_rare).join(common, "id").select("id", "term", "w", "rare", "c"), "postings")
@@ -146,9 +146,11 @@ def _meeting(n_left: int, left: tuple, n_right: int, right: tuple, tile: int) ->
         yield sums
 
 
-def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 256) -> DataFrame:
+def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 256, changed: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine, refs, tags, score) of all pairs a < b of rows (id, terms, weights, targets, tags) whose score reaches ``least``.
 
+    With ``changed`` (id), only the pairs that touch one of these: blocks of changed rows meet blocks of all rows.
+
     Rows are packed into blocks; each block meets each other and itself once, in one task, and gives
     the exact scores of its pairs.  No posting list is paired between tasks, so a hot term, target or
     tag costs no more than any other; what is shuffled is each row once per block.
@@ -156,8 +158,19 @@ def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 25
     n = rows.count()
     blocks = max(1, -(-n // block), min(8, n // 256))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+    placed = rows.withColumn("own", own).withColumn("hot", F.lit(False))
+    every = lambda k, first=0: F.explode(F.sequence(F.lit(first), F.lit(first + k - 1)))
+    if changed is None:
+        placed = placed.withColumn("other", every(blocks)).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+        n_tasks = blocks * (blocks + 1) // 2
+    else:
+        ids = changed.select("id").distinct()
+        n_hot = max(1, -(-ids.count() // block))
+        marked = placed.drop("hot").join(ids.withColumn("hot", F.lit(True)), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        part = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_hot)) + blocks).cast("int")  # blocks of changed rows are numbered behind those of all rows
+        left = marked.filter("hot").withColumn("lo", part).withColumn("hi", every(blocks)).withColumn("own", F.col("lo"))
+        placed = left.unionByName(marked.withColumn("lo", every(n_hot, blocks)).withColumn("hi", F.col("own")))
+        n_tasks = blocks * n_hot
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -165,6 +178,7 @@ def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 25
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
         rank = np.empty(len(own), dtype=np.int64)
         rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(own))
+        code, hot = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False), t["hot"].to_numpy()
         sides = [np.flatnonzero(own == lo), np.flatnonzero(own == hi)]
 
         def sparse(items: str, values: str | None = None) -> list[tuple]:
@@ -197,6 +211,10 @@ def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 25
             if lo == hi:  # a block with itself: each pair once
                 fits &= np.arange(len(right))[None, :] > np.arange(at, at + len(score))[:, None]
             i, j = np.nonzero(fits)
+            if lo > hi:  # changed rows with all rows: not with themselves, and two changed ones once
+                a, b = left[at + i], right[j]
+                keep = (code[a] != code[b]) & (~hot[b] | (rank[a] < rank[b]))
+                i, j = i[keep], j[keep]
             if len(i):
                 a, b = left[at + i], right[j]
                 first = rank[a] < rank[b]
@@ -204,20 +222,23 @@ def block_pairs(rows: DataFrame, least: float, block: int = 4096, tile: int = 25
                 columns = pair + [pa.array(x[i, j]) for x in (cosine, *jac, score)]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "cosine", "refs", "tags", "score"])
 
-    spread = placed.repartition(min(blocks * (blocks + 1) // 2, 400), "lo", "hi")  # a fixed number: many small tasks are wanted
-    return spread.groupBy("lo", "hi").applyInArrow(meet, "a string, b string, cosine double, refs double, tags double, score double")
+    dealt = placed.repartition(min(max(n_tasks, 1), 400), "lo", "hi")  # a fixed number: many small tasks are wanted
+    return dealt.groupBy("lo", "hi").applyInArrow(meet, "a string, b string, cosine double, refs double, tags double, score double")
 
 
-def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
-    """(source, target, score, tfidf, refs, tags, metadata) of class representatives whose score reaches ``least``."""
+def composite_pairs(feats: DataFrame, least: float, changed: DataFrame | None = None) -> DataFrame:
+    """(source, target, score, tfidf, refs, tags, metadata) of class representatives whose score reaches ``least``.
+
+    With ``changed`` (id), only the pairs that touch the class of one of these documents.
+    """
     feats = stored(feats, "document-features")
     member = classes(feats)
     reps = feats.join(member.filter("id = class_id").select("id"), "id", "left_semi").withColumnRenamed("id", "name")
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "similarity-features")  # short keys for the pair joins
     weights = tfidf(feats.select("id", "text")).withColumnRenamed("id", "name").join(reps.select("id", "name"), "name").select("id", "term", "weight")
     weights = stored(weights, "similarity-weights")
-    if least > 0.5:
-        scored = cosine_pairs(weights, (least - 0.5) / 0.5)
+    scored = cosine_pairs(weights, (least - 0.5) / 0.5) if least > 0.5 and changed is None else None
+    if scored is not None:
         left = reps.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("targets").alias("ta"), F.col("tags").alias("ga"))
         right = reps.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("targets").alias("tb"), F.col("tags").alias("gb"))
         both = scored.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "cosine", jaccard("ta", "tb").alias("refs"), jaccard("ga", "gb").alias("tags"))
@@ -228,18 +249,46 @@ def composite_pairs(feats: DataFrame, least: float) -> DataFrame:
             F.col("name").alias("id"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
             F.coalesce("weights", F.array().cast("array<double>")).alias("weights"), "targets", "tags",
         )
-        both = block_pairs(stored(rows, "similarity-rows"), least)
+        touched = changed and member.join(changed.select("id").distinct(), "id", "left_semi").select(F.col("class_id").alias("id")).distinct()
+        both = block_pairs(stored(rows, "similarity-rows"), least, changed=touched)
     two = lambda c: F.round(F.col(c) * 100) / 100 + 0.0
     rounded = both.select(F.col("a").alias("source"), F.col("b").alias("target"), two("score").alias("score"), two("cosine").alias("tfidf"), two("refs").alias("refs"), two("tags").alias("tags"))
     return rounded.withColumn("metadata", F.to_json(F.struct("refs", "score", "tags", "tfidf")))
 
 
-def refresh(existing: DataFrame, changed: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Incremental form: pairs that touch no changed id are kept, the others taken from ``recomputed``."""
-    ids = changed.select("id").distinct()
-    kept = existing.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").join(ids.withColumnRenamed("id", "target"), "target", "left_anti")
-    fresh = recomputed.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(recomputed.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
-    return kept.select(*recomputed.columns).unionByName(fresh).distinct()
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges (source, target) with either end in ``ids`` (id)."""
+    ends = ids.select("id").distinct()
+    first = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi")
+    rest = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_anti").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+    return first.select(*edges.columns).unionByName(rest.select(*edges.columns))
+
+
+def without(edges: DataFrame, ids: DataFrame, engine: str = "") -> DataFrame:
+    """Edges without the similarity edges that touch ``ids`` (of one engine, if named)."""
+    made_by = F.when(F.get_json_object("metadata", "$.engine") == "neural", "neural").otherwise("tfidf")
+    similar = (F.col("kind") == "similar_to") & (made_by == engine if engine else F.lit(True))
+    similar = F.coalesce(similar, F.lit(False))
+    ends = ids.select("id").distinct()
+    stay = edges.filter(similar).join(ends.withColumnRenamed("id", "source"), "source", "left_anti").join(ends.withColumnRenamed("id", "target"), "target", "left_anti")
+    return edges.filter(~similar).unionByName(stay.select(*edges.columns))
+
+
+def refresh(existing: DataFrame, changed: DataFrame, feats: DataFrame, least: float, made_at: float) -> DataFrame:
+    """Incremental form: pairs that touch no changed document are kept, only the others are scored again.
+
+    ``existing`` was made at ``made_at``; at another threshold, or if more than half of the documents changed, all
+    pairs are made anew.  Weights of unchanged pairs stay those of the run that made them, as in the reference.
+    """
+    n_changed, n = changed.select("id").distinct().count(), feats.count()
+    if n_changed == 0:
+        return existing
+    if made_at != least or n_changed > n / 2:
+        return composite_pairs(feats, least).select(*existing.columns)
+    fresh = composite_pairs(feats, least, changed).select(*existing.columns)
+    gone = touching(existing, changed).select("source", "target")
+    kept = existing.join(gone, ["source", "target"], "left_anti").join(fresh.select("source", "target"), ["source", "target"], "left_anti")
+    return kept.select(*existing.columns).unionByName(fresh)
 
 
 def merged_similar(edges: DataFrame, engine: str = "") -> DataFrame:
@@ -256,35 +305,46 @@ def nearest_vectors(rows: DataFrame, key: str, vector: str, every: int, k: int,
     """(query, neighbour, score): the ``k`` best other rows by cosine of each row whose key is divisible
     by ``every``.
 
-    Rows are packed into blocks of matrices; each query block meets each row block once, a matrix
-    product gives the block's best, and the best of all blocks are merged.  Zero and missing vectors
+    Queries and rows are packed into blocks of at most about ``block`` vectors; each query block meets each
+    row block once, in one task, a matrix product gives the block's best, and the best of all blocks are merged.  Zero and missing vectors
     match nothing; scores are rounded to four digits and ties go to the least key.
     """
     slim = rows.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).filter("i is not null and size(v) > 0")
-    blocks = max(1, -(-slim.count() // block))
-    data = slim.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    asked = data.filter(F.col("i") % every == 0).select("i", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"))
-    joined = asked.unionByName(data.withColumn("asks", F.lit(False)))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        length = pdf["v"].map(len)
-        out = []
-        for dim in length.unique():
-            part = pdf[length == dim]
-            unit = np.array(part["v"].tolist(), dtype=float)
+    asked = slim.filter(F.col("i") % every == 0)
+    sizes = slim.agg(F.count("*").alias("n"), F.count_if(F.col("i") % every == 0).alias("q")).first()
+    blocks, query_blocks = max(1, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // block))
+    place = lambda k, seed: F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.select("i", "v", place(query_blocks, 1).alias("q"), all_of(blocks).alias("b"), F.lit(True).alias("asks"))
+    right = slim.select("i", "v", all_of(query_blocks).alias("q"), place(blocks, 2).alias("b"), F.lit(False).alias("asks"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        lists = pa.concat_arrays(t["v"].chunks)
+        length, flat = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        start, all_ids, all_asks = np.cumsum(length) - length, t["i"].to_numpy(), t["asks"].to_numpy()
+        for dim in np.unique(length):
+            of = np.flatnonzero(length == dim)
+            unit = np.nan_to_num(flat[start[of][:, None] + np.arange(dim)])
             norm = np.linalg.norm(unit, axis=1, keepdims=True)
             unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
-            ids, asks = part["i"].to_numpy(), part["asks"].to_numpy(dtype=bool)
-            own, ok = ids[~asks], (norm[~asks, 0] > 0)
-            for at in range(0, int(asks.sum()), 256):
-                q = ids[asks][at : at + 256]
-                scores = np.round(unit[asks][at : at + 256] @ unit[~asks].T, 4) + 0.0
-                for row, i in zip(scores, q):
-                    fit = np.flatnonzero((row >= least) & (own != i) & ok)
+            ids, asks = all_ids[of], all_asks[of]
+            own, ok = ids[~asks], norm[~asks, 0] > 0
+            queries, found = np.flatnonzero(asks), []
+            for at in range(0, len(queries), 256):
+                scores = np.round(unit[queries[at : at + 256]] @ unit[~asks].T, 4) + 0.0
+                for row, i in zip(scores, ids[queries[at : at + 256]]):
+                    fit = (row >= least) & (own != i) & ok
+                    if k < len(row):  # only what reaches the k-th best is sorted
+                        fit &= row >= np.partition(np.where(fit, row, -2.0), len(row) - k)[len(row) - k]
+                    fit = np.flatnonzero(fit)
                     top = fit[np.lexsort((own[fit], -row[fit]))][:k]
-                    out += [(int(i), int(own[j]), float(row[j])) for j in top]
-        return pd.DataFrame(out, columns=["query", "neighbour", "score"])
+                    found.append((np.full(len(top), i), own[top], row[top]))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "neighbour", "score"])
 
-    parts = joined.groupBy("b").applyInPandas(best, "query long, neighbour long, score double")
+    dealt = left.unionByName(right).repartition(min(blocks * query_blocks, 400), "q", "b")
+    parts = dealt.groupBy("q", "b").applyInArrow(best, "query long, neighbour long, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "neighbour")
     return parts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import audit, context, incremental, listing, metadata, quality, resolve, search, similarity, traverse
-from paperloom.session import read
+from paperloom.session import stored
 from paperloom.tables import GOVERNANCE, RESEARCH, Graph
 
 AS_OF, HUB, QUERY, TAG = "2025-07-15", "handbook/index.md", "retention policy", "security"
@@ -400,6 +400,14 @@ def composite_similarity(g):
     return similarity.composite_pairs(similarity.features(g), SIMILAR).drop("metadata")
 
 
+@query(ORACLE["composite_similarity"].removeprefix(f"WITH {ALIVE}"))
+def similarity_refreshed(g):
+    """Nothing has really changed, so the pairs of one project scored again and the others kept are all pairs."""
+    feats = stored(similarity.features(g), "features")
+    before = similarity.composite_pairs(feats, SIMILAR).drop("metadata")
+    return similarity.refresh(before, feats.filter("id like 'atlas/%'"), feats, SIMILAR, SIMILAR)
+
+
 @query(""", s AS (SELECT least(source, target) AS a, greatest(source, target) AS b, CASE WHEN json_extract_string(metadata, '$.engine') = 'neural' THEN 'neural' ELSE 'tfidf' END AS engine,
   try_cast(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.score') AS DOUBLE) AS score FROM edges WHERE kind = 'similar_to' AND source <> target)
 SELECT a, b, engine, score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY engine = 'neural' DESC, score DESC NULLS LAST) AS k FROM s) WHERE k = 1""")
@@ -518,6 +526,19 @@ def search_ranked(g):
     return search.search(g, _REQUEST, [])
 
 
+_HELD = f"""id IN (SELECT node_id FROM gov WHERE lower(trim(status)) = 'approved') AND id NOT IN (SELECT node_id FROM gov WHERE try_cast(regexp_extract(trim(effective_date), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) > DATE '{AS_OF}')
+  AND id NOT IN (SELECT node_id FROM res WHERE try_cast(regexp_extract(trim(valid_until), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) < DATE '{AS_OF}')"""
+_EVERY = lambda c: " AND ".join(f"contains({c}, '{t}')" for t in _TERMS)
+_FILTERED = _RANKED.replace("merged AS (", f"""h5 AS (SELECT id, 16.0 AS score, 'metadata_filter' AS src FROM docs LEFT JOIN secs ON secs.node_id = docs.id WHERE {_HELD}
+  AND (({_EVERY("lower(concat_ws(chr(10), name, qualified_name, body_excerpt, metadata))")}) OR ({_EVERY("lower(coalesce(text, ''))")})) ORDER BY id LIMIT {_REQUEST.cap}),
+merged AS (""").replace("SELECT * FROM h4)", f"SELECT * FROM h4 UNION ALL SELECT * FROM h5) WHERE {_HELD}")
+
+
+@query(f"{_FILTERED} SELECT * FROM top")
+def search_filtered(g):
+    return search.search(g, search.Request(QUERY, filters={"status": "approved", "as_of": AS_OF}), [])
+
+
 @query()
 def search_expanded(g):
     return search.search(g, _REQUEST)

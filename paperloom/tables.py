@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes, newest_metadata
-from paperloom.session import epoch_seconds, read
+from paperloom.session import epoch_seconds, read, stored
 
 #: Kinds of edges that refer from one text to another.
 REFERENCES = ["references", "wikilinks_to", "related_to", "embeds"]
@@ -22,9 +22,15 @@ NODE = ["kind", "name", "qualified_name", "file_path", "start_line", "end_line",
 
 
 class Graph:
+    is_settled = False
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def settled(self) -> Graph:
+        """The same graph with newest nodes, governance and research rows written once, for work that reads them many times."""
+        return Settled(self)
+
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)
 
@@ -54,3 +60,31 @@ class Graph:
         return rows.groupBy("path").agg(
             F.count("*").alias("commit_count"), F.min("at").alias("first_commit_at"), F.max("at").alias("last_commit_at")
         )
+
+
+class Settled(Graph):
+    """A graph whose newest rows are stored tables: one shuffle per table instead of one per use."""
+
+    is_settled = True
+
+    def __init__(self, base: Graph):
+        super().__init__(base.spark, base.folder)
+        self._nodes = stored(existing_nodes(base.table("nodes"), NODE), "newest-nodes")
+        self._governance, self._research = stored(base.governance, "newest-governance"), stored(base.research, "newest-research")
+
+    def settled(self) -> Graph:
+        return self
+
+    def nodes(self, *columns: str) -> DataFrame:
+        return self._nodes.select("id", *[c for c in (columns or NODE) if c != "id"])
+
+    def documents(self, *columns: str) -> DataFrame:
+        return self._nodes.filter("kind = 'document'").select("id", "file_path", *[c for c in columns if c not in ("id", "file_path")])
+
+    @property
+    def governance(self) -> DataFrame:
+        return self._governance
+
+    @property
+    def research(self) -> DataFrame:
+        return self._research

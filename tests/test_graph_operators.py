@@ -98,6 +98,32 @@ def test_search_and_context(g):
     assert [x.form for x in context.budget(text, "t", 10, 5).orderBy("place").collect()] == ["full", "omitted"]
 
 
+def test_filters_drop_hits(g):
+    ids = lambda **f: {x.id for x in search.search(g, search.Request("doc", filters=f), []).collect()}
+    everything = ids()
+    assert {"p/a.md", "p/b.md", "p/c.md", "p/d.md", "q/e.md", "q/lone.pdf"} <= everything
+    assert ids(status=" Approved ") == {"p/a.md", "p/b.md"} and ids(status="approved", claim_id="K") == {"p/b.md"} and ids(status="none") == set()
+    assert ids(as_of="2025-07-15") == everything - {"p/b.md"} and ids(as_of="2025-07-14") == everything and ids(status="") == everything
+    assert ids(allowed_audience="staff") == set()
+    with pytest.raises(ValueError):
+        search.Request("doc", filters={"colour": "red"})
+    assert search.Request("doc", limit=10_000).limit == search.MOST_HITS
+    said = g.spark.createDataFrame([("e1", "concept", "q/lone.pdf"), ("e2", "person", "p/d.md")], "entity_id string, entity_type string, node_id string")
+    found = search.search(g, search.Request("zzzz", entity_type="person"), [], said).collect()
+    assert [x.id for x in found] == ["p/d.md"] and search.search(g, search.Request("zzzz", entity_id="e1"), [], said).first().id == "q/lone.pdf"
+
+
+def test_audience(g):
+    rows = [("a", "internal", '["Staff","legal"]'), ("b", "Public", None), ("c", None, "all"), ("d", None, None), ("e", "secret", "board; staff")]
+    gov = g.spark.createDataFrame([(i, s, a, *[None] * 9) for i, s, a in rows], "node_id string, sensitivity string, allowed_audience string, " + ", ".join(f"{c} string" for c in GOVERNANCE if c not in ("sensitivity", "allowed_audience")))
+
+    class One:
+        governance, research = gov, g.research
+
+    hit = lambda who: {r.id for r in search.matching(One, gov.select(F.col("node_id").alias("id")), search.Request("x", filters={"allowed_audience": who})).collect()}
+    assert hit("STAFF") == {"a", "b", "c", "e"} and hit("legal") == {"a", "b", "c"} and hit("nobody") == {"b", "c"}
+
+
 def test_listings_and_metadata(g):
     assert {(r.tag, r.n_documents) for r in listing.tag_counts(g).collect()} == {("one", 1)}
     assert {r.path for r in listing.no_frontmatter(g).collect()} == {"p/b.md"} and listing.documents_by_tag(g, "ONE").count() == 1

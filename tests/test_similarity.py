@@ -97,6 +97,34 @@ def test_block_pairs_against_brute_force(spark, block):
     rows = s.block_pairs(df, 0.25, block, 5).collect()
     got = {(r.a, r.b): r.score for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    some = {f"d{i:02d}" for i in range(0, 60, 7)}
+    rows = s.block_pairs(df, 0.25, block, 5, spark.createDataFrame([(i,) for i in some], "id string")).collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(k for k in want if some & set(k))
+
+
+def test_refresh_scores_only_what_changed(spark, monkeypatch):
+    schema = "id string, text string, targets array<string>, tags array<string>"
+    docs = [(f"d{i:02d}", " ".join(f"w{(i * k) % 11}" for k in range(1, 6)), ["t"] if i % 2 else [], ["x"] if i % 3 else []) for i in range(30)]
+    before = s.composite_pairs(spark.createDataFrame(docs, schema), 0.25).cache()
+    docs[3], docs[8] = ("d03", "new words here", [], []), ("d08", docs[9][1] + " w1", ["t"], ["x"])
+    feats, changed = spark.createDataFrame(docs, schema), spark.createDataFrame([("d03",), ("d08",), ("gone",)], "id string")
+    pairs = lambda df: {(r.source, r.target) for r in df.collect()}
+    full, asked, make = pairs(s.composite_pairs(feats, 0.25)), [], s.composite_pairs
+    monkeypatch.setattr(s, "composite_pairs", lambda f, least, ids=None: asked.append(ids is None) or make(f, least, ids))
+    got = pairs(s.refresh(before, changed, feats, 0.25, 0.25))
+    assert asked == [False] and {p for p in got if {"d03", "d08"} & set(p)} == {p for p in full if {"d03", "d08"} & set(p)}
+    assert {p for p in got if not {"d03", "d08"} & set(p)} == {p for p in pairs(before) if not {"d03", "d08"} & set(p)}
+    assert pairs(s.refresh(before, changed, feats, 0.25, 0.3)) == full and asked[-1]
+    assert s.refresh(before, changed.limit(0), feats, 0.25, 0.25) is before
+
+
+def test_similarity_edges_are_deleted_by_document_and_engine(spark):
+    rows = [("a", "b", "similar_to", None), ("c", "a", "similar_to", '{"engine": "neural"}'), ("b", "c", "similar_to", None), ("a", "b", "references", None), ("a", None, None, None)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, metadata string")
+    ids = spark.createDataFrame([("a",)], "id string")
+    left = lambda *engine: sorted((r.source, str(r.target), str(r.kind)) for r in s.without(edges, ids, *engine).collect())
+    rest = [("a", "None", "None"), ("a", "b", "references"), ("b", "c", "similar_to")]
+    assert left() == rest and left("neural") == sorted([*rest, ("a", "b", "similar_to")])
 
 
 def test_registered_threshold_is_that_of_the_reference():
