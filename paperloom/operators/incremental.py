@@ -35,3 +35,28 @@ def cascade(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> tuple[Dat
     kept = nodes.join(removed.select(F.col("path").alias("file_path")), "file_path", "left_anti")
     left = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
     return kept, left
+
+
+def cascade_all(tables: dict[str, DataFrame], removed: DataFrame) -> dict[str, DataFrame]:
+    """Every table of a collection without what belongs to removed files (path).
+
+    Rows with a file_path go with their file, rows with a node_id with their node, edges with either end,
+    references with their node; files go themselves, and entities that nothing mentions any longer.
+    """
+    files = removed.select(F.col("path").alias("file_path")).distinct()
+    out = dict(tables)
+    gone = tables["nodes"].join(files, "file_path", "left_semi").select("id").distinct()
+    for name, rows in tables.items():
+        if name == "files":
+            out[name] = rows.join(removed.select("path").distinct(), "path", "left_anti")
+        elif name == "edges":
+            out[name] = rows.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+        elif "file_path" in rows.columns:
+            out[name] = rows.join(files, "file_path", "left_anti")
+        elif "from_node_id" in rows.columns or "node_id" in rows.columns:
+            key = "node_id" if "node_id" in rows.columns else "from_node_id"
+            out[name] = rows.join(gone.withColumnRenamed("id", key), key, "left_anti")
+        out[name] = out[name].select(*rows.columns)
+    if {"entities", "entity_mentions"} <= tables.keys():
+        out["entities"] = tables["entities"].join(out["entity_mentions"].select("entity_id").distinct(), "entity_id", "left_semi")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import newest
@@ -58,15 +58,61 @@ def mentions(sections: DataFrame) -> DataFrame:
     return rows.groupBy("node_id", F.trim("name").alias("name")).agg(F.count("*").alias("n"))
 
 
-def entities(found: DataFrame, kind: str = "concept") -> DataFrame:
-    """(entity_id, entity_type, name, aliases, n_nodes): mentions merged by normalised name; at most 200 aliases."""
+MOST_ALIASES = 200
+
+
+def entities(found: DataFrame, kind: str = "concept", most: int | None = MOST_ALIASES) -> DataFrame:
+    """(entity_id, entity_type, name, aliases, n_nodes): mentions merged by normalised name, with the ``most`` least spellings (null: all)."""
     named = found.withColumn("norm", normal_name(F.col("name")))
-    spelled = named.groupBy("norm", "name").agg(F.sum("n").alias("n"))
-    per = spelled.groupBy("norm").agg(F.min("name").alias("name"), F.slice(F.sort_array(F.collect_set("name")), 1, 200).alias("aliases"))
+    spelled = _spellings(named.select(F.lit(kind).alias("entity_type"), "norm", "name"), most)
     nodes = named.groupBy("norm").agg(F.countDistinct("node_id").alias("n_nodes"))
-    return per.join(nodes, "norm").select(
-        F.sha2(F.concat(F.lit(kind), F.lit("|"), "norm"), 256).alias("entity_id"), F.lit(kind).alias("entity_type"), "name", F.array_join("aliases", " | ").alias("aliases"), "n_nodes"
+    return spelled.join(nodes, "norm").select(entity_id("entity_type", "norm"), "entity_type", "name", F.array_join("aliases", " | ").alias("aliases"), "n_nodes")
+
+
+def entity_id(kind: str, norm: str) -> Column:
+    return F.sha2(F.concat_ws("|", kind, norm), 256).alias("entity_id")
+
+
+def _spellings(named: DataFrame, most: int | None) -> DataFrame:
+    """(entity_type, norm, name, aliases): spellings are cut to the least ``most`` before they are collected."""
+    rows = named.select("entity_type", "norm", "name").distinct()
+    if most is not None:
+        w = Window.partitionBy("entity_type", "norm").orderBy("name")
+        rows = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    return rows.groupBy("entity_type", "norm").agg(F.min("name").alias("name"), F.sort_array(F.collect_set("name")).alias("aliases"))
+
+
+def typed_entities(mentioned: DataFrame, vocabulary: DataFrame | None = None, most: int | None = MOST_ALIASES) -> DataFrame:
+    """(entity_id, entity_type, name, aliases, n_mentions, n_nodes) of mentions (node_id, name, entity_type, alias).
+
+    A name without a stated type (``concept``) belongs to the entity that bears it as name or alias, if one has a
+    type; other names are concepts.  ``vocabulary`` (entity_type) keeps the listed types only; empty keeps all.
+    """
+    return _entities_of(mentions_of_entities(mentioned, vocabulary), most)
+
+
+def mentions_of_entities(mentioned: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(entity_id, entity_type, norm, spelling, node_id): every mention under the entity it means."""
+    rows = mentioned.withColumns({"entity_type": F.lower(F.trim("entity_type")), "norm": normal_name(F.col("name"))})
+    stated = rows.filter("entity_type <> 'concept'")
+    known = stated.select(F.col("entity_type").alias("_type"), F.col("norm").alias("_norm"), "norm")
+    known = known.unionByName(stated.filter("alias is not null").select(F.col("entity_type").alias("_type"), F.col("norm").alias("_norm"), normal_name(F.col("alias")).alias("norm")))
+    owner = known.groupBy("norm").agg(F.min(F.struct("_type", "_norm")).alias("o"))
+    loose = rows.filter("entity_type = 'concept'").join(owner, "norm", "left")
+    loose = loose.withColumns({"entity_type": F.coalesce("o._type", "entity_type"), "norm": F.coalesce("o._norm", "norm")}).drop("o")
+    every = stated.select("entity_type", "norm", F.coalesce("alias", "name").alias("spelling"), "node_id").unionByName(
+        loose.select("entity_type", "norm", F.coalesce("alias", "name").alias("spelling"), "node_id")
     )
+    if vocabulary is not None and not vocabulary.isEmpty():
+        every = every.join(vocabulary.select(F.lower(F.trim("entity_type")).alias("entity_type")).distinct(), "entity_type", "left_semi")
+    return every.select(entity_id("entity_type", "norm"), "*")
+
+
+def _entities_of(every: DataFrame, most: int | None) -> DataFrame:
+    spelled = _spellings(every.withColumnRenamed("spelling", "name"), most)
+    counts = every.groupBy("entity_type", "norm").agg(F.count("*").alias("n_mentions"), F.countDistinct("node_id").alias("n_nodes"))
+    joined = spelled.join(counts, ["entity_type", "norm"])
+    return joined.select(entity_id("entity_type", "norm"), "entity_type", "name", F.array_join("aliases", " | ").alias("aliases"), "n_mentions", "n_nodes")
 
 
 def orphan_entities(known: DataFrame, found: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Application -> how often its stored tables were removed.
+released: dict[str, int] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -54,6 +58,17 @@ def release(spark: SparkSession) -> None:
     """Remove every table this application has stored; what was read from them can no longer be computed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    released[spark.sparkContext.applicationId] = released.get(spark.sparkContext.applicationId, 0) + 1
+
+
+def fingerprint(spark: SparkSession, folder: str, tables: list[str]) -> tuple:
+    """What tells one state of the files of some tables from another: names, sizes and times."""
+    out: list = [spark.sparkContext.applicationId, released.get(spark.sparkContext.applicationId, 0)]
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((t, *[(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(path) if fs.exists(path) else [])]))
+    return tuple(out)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def entries(path: str, text: str, lang: Language) -> list[tuple[str, str, int, i
             out.append(("test_func", name, i, max(i, doc[1] if doc else i), doc[2] if doc else name))
         elif doc and (not lang.exported or re.search(lang.exported, name)) and not (is_test_file and lang.test and not lang.docstring and not symbol):
             out.append(("doc_comment", name, doc[0] if doc[0] < i else i, max(i, doc[1]), doc[2]))
-    return out[:MAX_ENTRIES]
+    return out
 
 
 _TITLE = {"file_header": "File Header", "test_func": "Tests", "example_func": "Examples", "doc_comment": "DocComment"}
@@ -178,7 +178,10 @@ def parse(path: str, data: bytes) -> Parsed:
         return out
     out.node(path, "code_file", name, path, 1, text.count("\n") + 1, 0, json.dumps({"source_language": lang.name}))
     file_type = "test" if re.search(lang.test_file, path) else "source"
-    for kind, symbol, first, last, body in entries(path, text, lang):
+    found = entries(path, text, lang)
+    if len(found) > MAX_ENTRIES:
+        out.error = f"only the first {MAX_ENTRIES} documented places are kept"
+    for kind, symbol, first, last, body in found[:MAX_ENTRIES]:
         node = f"{path}#{kind}-{first}"
         meta = json.dumps({"comment_kind": kind, "file_type": file_type, "source_language": lang.name, "symbol": symbol})
         out.node(node, "heading", symbol or _TITLE[kind], node, first, last, 2, meta, body)

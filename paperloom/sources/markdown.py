@@ -55,6 +55,9 @@ def _strings(value) -> list[str]:
     return [s for v in value for s in _strings(v)] if isinstance(value, list) else [value] if isinstance(value, str) else []
 
 
+MAX_ENTITIES = 500
+
+
 def parse(path: str, data: bytes) -> Parsed:
     text = data.decode("utf-8-sig", errors="replace").replace("\r\n", "\n")
     out = Parsed(path, sha(data), len(data))
@@ -111,6 +114,8 @@ def parse(path: str, data: bytes) -> Parsed:
             out.edge(source, node, "contains", number)
         for m in _WIKI.finditer(bare):
             out.link(source, m[2] + (f"|{m[3]}" if m[3] else ""), "embed" if m[1] else "wikilink", number)
+            if not m[1] and (named := re.split(r"[#|]", m[2])[0].strip()):
+                out.entity(source, named, "concept", None, number)
         bare = _WIKI.sub(" ", bare)
         for m in _INLINE.finditer(bare):
             if m[3] and not m[1]:
@@ -133,6 +138,12 @@ def parse(path: str, data: bytes) -> Parsed:
                 out.tuple(path, str(k), _flat(v), "skill_advisory", 0.5)
         elif key not in ("tags", "entities"):
             out.tuple(path, str(key), _flat(value), "frontmatter")
+    named = entities(values)
+    if len(named) > MAX_ENTITIES:
+        out.error = out.error or f"only the first {MAX_ENTITIES} entities are kept"
+    for e in named[:MAX_ENTITIES]:
+        for alias in [None, *e["aliases"]]:
+            out.entity(path, e["name"], e["type"], alias, 0)
     return out
 
 
@@ -140,8 +151,7 @@ def _kind(target: str) -> str:
     return "external" if re.match(r"https?://", target) else "markdown_link"
 
 
-def entities(data: bytes) -> list[dict]:
-    """The ``entities`` of the front matter: name, type, aliases."""
-    values, _, _ = front_matter(data.decode("utf-8-sig", errors="replace"))
+def entities(values: dict) -> list[dict]:
+    """The ``entities`` of a front matter: name, type, aliases."""
     rows = values.get("entities") if isinstance(values.get("entities"), list) else []
-    return [{"name": str(e["name"]), "type": str(e.get("type") or "concept"), "aliases": _strings(e.get("aliases") or [])} for e in rows if isinstance(e, dict) and e.get("name")][:500]
+    return [{"name": str(e["name"]), "type": str(e.get("type") or "concept"), "aliases": _strings(e.get("aliases") or [])} for e in rows if isinstance(e, dict) and e.get("name")]

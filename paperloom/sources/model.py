@@ -13,8 +13,9 @@ EDGE = "source string, target string, kind string, line int"
 LINK = "from_node_id string, reference_text string, reference_kind string, line int, file_path string"
 CHUNK = "node_id string, file_path string, start_line int, end_line int, content_hash string, section_hash string, heading_path string, text string"
 TUPLE = "node_id string, key string, value string, value_type string, source string, confidence double"
-RESULT = f"path string, content_hash string, size long, error string, nodes array<struct<{{n}}>>, edges array<struct<{{e}}>>, links array<struct<{{l}}>>, chunks array<struct<{{c}}>>, tuples array<struct<{{t}}>>".format(
-    **{k: re.sub(r"(\w+) (\w+)", r"\1:\2", v) for k, v in (("n", NODE), ("e", EDGE), ("l", LINK), ("c", CHUNK), ("t", TUPLE))}
+ENTITY = "node_id string, name string, entity_type string, alias string, line int"
+RESULT = f"path string, content_hash string, size long, error string, nodes array<struct<{{n}}>>, edges array<struct<{{e}}>>, links array<struct<{{l}}>>, chunks array<struct<{{c}}>>, tuples array<struct<{{t}}>>, entities array<struct<{{x}}>>".format(
+    **{k: re.sub(r"(\w+) (\w+)", r"\1:\2", v) for k, v in (("n", NODE), ("e", EDGE), ("l", LINK), ("c", CHUNK), ("t", TUPLE), ("x", ENTITY))}
 )
 
 
@@ -29,6 +30,10 @@ class Parsed:
     links: list[dict] = field(default_factory=list)
     chunks: list[dict] = field(default_factory=list)
     tuples: list[dict] = field(default_factory=list)
+    entities: list[dict] = field(default_factory=list)
+
+    def entity(self, node: str, name: str, kind: str, alias: str | None, line: int) -> None:
+        self.entities.append({"node_id": node, "name": name, "entity_type": kind, "alias": alias, "line": line})
 
     def node(self, id: str, kind: str, name: str, qualified: str, start: int, end: int, level: int = 0, metadata: str | None = None, text: str = "") -> None:
         self.nodes.append({"id": id, "kind": kind, "name": name, "qualified_name": qualified, "file_path": self.path, "start_line": start, "end_line": end,
@@ -46,7 +51,9 @@ class Parsed:
                             "section_hash": sha(text.encode()), "heading_path": heading_path, "text": text})
 
     def tuple(self, node: str, key: str, value: str, source: str, confidence: float = 1.0) -> None:
-        if value and len(self.tuples) < MAX_TUPLES:
+        if value and len(self.tuples) >= MAX_TUPLES:
+            self.error = self.error or f"only the first {MAX_TUPLES} metadata values are kept"
+        elif value:
             self.tuples.append({"node_id": node, "key": key, "value": cut(value, TUPLE_BYTES), "value_type": value_type(value), "source": source, "confidence": confidence})
 
 

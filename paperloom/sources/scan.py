@@ -61,6 +61,34 @@ class Ignore:
         return ignored
 
 
+#: Names of the files whose lines are ignore rules for their folder.
+IGNORE_FILES = (".gitignore", ".paperloomignore")
+
+
+def ignore_rules(spark: SparkSession, folder: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, str]]:
+    """(folder of the ignore file, line) of every ignore file below ``folder``, upper folders first.
+
+    Spark's own listing passes over names that begin with a dot, so the names are walked on the driver, folder by
+    folder; only ignore files are opened.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, waiting = [], [(top, "")]
+    while waiting:
+        at, base = waiting.pop(0)
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in SKIPPED and not status.isSymlink():
+                    waiting.append((status.getPath(), f"{base}/{name}".strip("/")))
+            elif name in names:
+                stream = fs.open(status.getPath())
+                out += [(base, line) for line in bytes(stream.readAllBytes()).decode(errors="replace").splitlines()]
+                stream.close()
+    return out
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path relative to the folder, modified, length, content) of the files below ``folder`` in a known format.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes, newest_metadata
-from paperloom.session import epoch_seconds, read, stored
+from paperloom.session import epoch_seconds, fingerprint, read, stored
 
 #: Kinds of edges that refer from one text to another.
 REFERENCES = ["references", "wikilinks_to", "related_to", "embeds"]
@@ -21,6 +21,9 @@ RESEARCH = ["claim_id", "evidence", "source_type", "confidence", "event_date", "
 NODE = ["kind", "name", "qualified_name", "file_path", "start_line", "end_line", "level", "metadata", "body_excerpt"]
 
 
+_settled: dict[tuple, Graph] = {}
+
+
 class Graph:
     is_settled = False
 
@@ -28,8 +31,15 @@ class Graph:
         self.spark, self.folder = spark, folder
 
     def settled(self) -> Graph:
-        """The same graph with newest nodes, governance and research rows written once, for work that reads them many times."""
-        return Settled(self)
+        """The same graph with newest nodes, governance and research rows written once, for work that reads them many times.
+
+        Requests on unchanged files share these tables; when a file changes, the next request writes them anew.
+        """
+        state = fingerprint(self.spark, self.folder, ["nodes", "governance_metadata", "research_metadata", "section_chunks"])
+        if state not in _settled:
+            _settled.clear()  # one state at a time
+            _settled[state] = Settled(self)
+        return _settled[state]
 
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)
