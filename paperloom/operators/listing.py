@@ -98,8 +98,8 @@ def cost_estimate(g: Graph, rates: list[tuple[str, float]]) -> DataFrame:
     return total.select("n_tokens", F.inline(listed)).select("model", "n_tokens", (F.col("n_tokens") / 1e6 * F.col("rate")).alias("cost"))
 
 
-def sensitive_folders(g: Graph) -> DataFrame:
-    marked = F.lower("path").rlike("|".join(SENSITIVE))
+def sensitive_folders(g: Graph, words: list[str] = SENSITIVE) -> DataFrame:
+    marked = F.lower("path").rlike("|".join(words))
     rows = g.table("files").select("path").distinct().filter(marked)
     return rows.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("folder")).agg(F.count("*").alias("n_files"))
 

@@ -557,11 +557,6 @@ def context_budget(g):
     return context.budget(hits.select("id", "place", "text"), "text", 4000, 2000).drop("text")
 
 
-@query()
-def context_content(g):
-    return search.sections(g).select("node_id", context.cut_bytes("text", context.CONTENT_BYTES).alias("content"))
-
-
 @query(""", b AS (SELECT *, -length(text) AS rank, split_part(file_path, '/', 1) AS project FROM secs), k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank, node_id) AS n FROM b)
 SELECT node_id, project, rank FROM k WHERE n <= 40 ORDER BY rank, node_id LIMIT 20""")
 def workspace_fanout(g):

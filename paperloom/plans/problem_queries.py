@@ -198,3 +198,50 @@ orphans AS (
 ORACLE["p5_found"] = f"{_ORPHANS} SELECT DISTINCT ref_table, field, ref_id, coalesce(period, 'unknown') AS period FROM orphans LEFT JOIN seen ON seen.path = orphans.file"
 ORACLE["p5_report"] = f"""{_ORPHANS} SELECT ref_table, field, coalesce(period, 'unknown') AS period, count(*) AS n_orphans, count(DISTINCT (space, key)) AS n_missing_keys
 FROM orphans LEFT JOIN seen ON seen.path = orphans.file GROUP BY ALL"""
+
+
+_ABBREVIATED = ", ".join(f"('{k}', {v})" for k, v in timestamps.ABBREVIATIONS.items())
+_MONTH_NO = "list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], {}[:3])"
+_MON = "((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)\\.?"
+_DAYNAME = "(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,?\\s+)?"
+_CLOCK = "(?:(?:t|,?\\s+)(\\d.*))?$"
+#: format -> (pattern of date and rest, year, month, day) with $1.. for its groups
+_FORMS = [
+    ("^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})" + _CLOCK, "p[1]", "p[2]", "p[3]", 4),
+    ("^(\\d{4})(\\d{2})(\\d{2})" + _CLOCK, "p[1]", "p[2]", "p[3]", 4),
+    ("^(\\d{1,2})/(\\d{1,2})/(\\d{4})" + _CLOCK, "p[3]", "p[1]", "p[2]", 4),
+    ("^(\\d{1,2})\\.\\s?(\\d{1,2})\\.\\s?(\\d{4})" + _CLOCK, "p[3]", "p[2]", "p[1]", 4),
+    ("^" + _DAYNAME + "(\\d{1,2})(?:st|nd|rd|th|\\.)?[\\s-]+(?:of\\s+)?" + _MON + "[\\s,-]+(\\d{4})" + _CLOCK, "p[3]", "m", "p[1]", 4),
+    ("^" + _DAYNAME + _MON + "[\\s-]+(\\d{1,2})(?:st|nd|rd|th)?,?[\\s-]+(\\d{4})" + _CLOCK, "p[3]", "m", "p[2]", 4),
+]
+_CASES = " ".join(f"WHEN regexp_matches(t, '{form}') THEN {i}" for i, (form, *_) in enumerate(_FORMS, 1))
+_group = lambda g: "CASE f " + " ".join(f"WHEN {i} THEN regexp_extract(t, '{form}', {g})" for i, (form, *_) in enumerate(_FORMS, 1)) + " END"
+_YMD = lambda at: "CASE f " + " ".join(f"WHEN {i} THEN {'mon' if x[at] == 'm' else x[at].replace('p[', 'g[')}" for i, x in enumerate(_FORMS, 1)) + " END"
+
+ORACLE["p2_found"] = f"""WITH vals AS (
+  SELECT node_id, unnest(['review_due', 'effective_date']) AS field, unnest([review_due, effective_date]) AS v FROM governance_metadata
+  UNION ALL SELECT node_id, unnest(['last_verified', 'valid_until']), unnest([last_verified, valid_until]) FROM research_metadata),
+texts AS (SELECT DISTINCT node_id, field, lower(regexp_replace(v, '^[\\s\\x{{a0}}\\x{{feff}}"''`‘’“”„«»]+|[\\s\\x{{a0}}\\x{{feff}}"''`‘’“”„«»]+$', '', 'g')) AS t FROM vals WHERE v IS NOT NULL),
+formed AS (SELECT *, CASE WHEN regexp_matches(t, '^-?\\d{{10,}}(?:[.,]\\d*)?$') THEN 0 WHEN regexp_matches(t, '^\\d{{4}}-?w\\d{{2}}-?[1-7]{_CLOCK[:-1]}$') THEN 8 WHEN regexp_matches(t, '^\\d{{4}}-?\\d{{3}}{_CLOCK[:-1]}$') THEN 9 {_CASES} END AS f FROM texts),
+grouped AS (SELECT *, [{_group(1)}, {_group(2)}, {_group(3)}] AS g,
+    CASE f WHEN 8 THEN regexp_extract(t, '^\\d{{4}}-?w\\d{{2}}-?[1-7]{_CLOCK[:-1]}$', 1) WHEN 9 THEN regexp_extract(t, '^\\d{{4}}-?\\d{{3}}{_CLOCK[:-1]}$', 1) ELSE {_group(4)} END AS clock FROM formed WHERE f IS NOT NULL),
+named AS (SELECT *, CASE f WHEN 5 THEN {_MONTH_NO.format('g[2]')} WHEN 6 THEN {_MONTH_NO.format('g[1]')} END::VARCHAR AS mon FROM grouped),
+days AS (SELECT *, CASE f
+    WHEN 8 THEN try_cast(t[1:4] || '-01-04' AS DATE) - (isodow(try_cast(t[1:4] || '-01-04' AS DATE))::INTEGER - 1) + (regexp_extract(t, 'w(\\d\\d)', 1)::INTEGER - 1) * 7 + regexp_extract(t, 'w\\d\\d-?([1-7])', 1)::INTEGER - 1
+    WHEN 9 THEN CASE WHEN regexp_extract(t, '^\\d{{4}}-?(\\d{{3}})', 1)::INTEGER BETWEEN 1 AND dayofyear(try_cast(t[1:4] || '-12-31' AS DATE)) THEN try_cast(t[1:4] || '-01-01' AS DATE) + regexp_extract(t, '^\\d{{4}}-?(\\d{{3}})', 1)::INTEGER - 1 END
+    ELSE try_cast(lpad({_YMD(1)}, 4, '0') || '-' || lpad({_YMD(2)}, 2, '0') || '-' || lpad({_YMD(3)}, 2, '0') AS DATE) END AS d FROM named),
+weeks AS (SELECT * FROM days WHERE f = 0 OR (d IS NOT NULL AND (f <> 8 OR (regexp_extract(t, 'w(\\d\\d)', 1)::INTEGER >= 1 AND isoyear(d) = t[1:4]::INTEGER)))),
+clocks AS (SELECT *, regexp_extract(clock, '^(\\d{{1,2}})(?::(\\d{{2}})(?::(\\d{{2}})(?:[.,]\\d+)?)?|(\\d{{2}})(\\d{{2}})?(?:[.,]\\d+)?)(?:\\s*([ap])\\.?m(?:\\.|\\b))?\\s*(z|[a-z]{{2,5}}|(?:utc|gmt)?[+\\-−]\\d{{1,2}}(?::?\\d{{2}})?|\\[?[a-z_]+(?:/[a-z0-9_+\\-]+)+\\]?|\\[(?:utc|gmt|z)\\])?$', ['h', 'm', 's', 'm2', 's2', 'half', 'zone']) AS c FROM weeks),
+timed AS (SELECT *, clock <> '' AS has_time, try_cast(c.h AS INTEGER) AS hour, coalesce(try_cast(c.m AS INTEGER), try_cast(c.m2 AS INTEGER), 0) AS minute, coalesce(try_cast(c.s AS INTEGER), try_cast(c.s2 AS INTEGER), 0) AS sec, replace(regexp_replace(c.zone, '[\\[\\]]', '', 'g'), '−', '-') AS zone FROM clocks),
+hours AS (SELECT *, CASE WHEN c.half = '' THEN hour WHEN hour BETWEEN 1 AND 12 THEN hour % 12 + CASE c.half WHEN 'p' THEN 12 ELSE 0 END END AS h24 FROM timed),
+locals AS (SELECT *, epoch(d)::BIGINT + CASE WHEN NOT has_time THEN 0 WHEN (h24 <= 23 OR (h24 = 24 AND minute = 0 AND sec = 0)) AND minute <= 59 AND sec <= 60 THEN h24 * 3600 + minute * 60 + sec END AS l FROM hours),
+offsets AS (SELECT x.*, a.o AS abbreviated, CASE WHEN regexp_matches(zone, '^(?:utc|gmt)?[+-]\\d') THEN (CASE WHEN contains(zone, '-') THEN -1 ELSE 1 END) * (regexp_extract(zone, '[+-](\\d\\d?)', 1)::INTEGER * 3600 + coalesce(try_cast(regexp_extract(zone, '[+-]\\d\\d?:?(\\d\\d)$', 1) AS INTEGER), 0) * 60) END AS stated,
+    (SELECT min(time_zone) FROM project_zones p WHERE p.project = split_part(node_id, '/', 1)) AS home FROM locals x LEFT JOIN (VALUES {_ABBREVIATED}) a(z, o) ON a.z = zone),
+zoned AS (SELECT *, CASE WHEN contains(zone, '/') THEN (SELECT min(name) FROM pg_timezone_names() z WHERE lower(z.name) = zone) ELSE coalesce(home, 'UTC') END AS tz FROM offsets WHERE f = 0 OR l IS NOT NULL),
+guesses AS (SELECT *, make_timestamp(l * 1000000) AS lt, CASE WHEN f > 0 AND has_time AND stated IS NULL AND abbreviated IS NULL AND (zone = '' OR contains(zone, '/')) THEN epoch(timezone(tz, make_timestamp((l - 86400) * 1000000)))::BIGINT + 86400 END AS before_guess FROM zoned),
+both_guesses AS (SELECT *, CASE WHEN before_guess IS NOT NULL THEN epoch(timezone(tz, lt))::BIGINT END AS plain_guess FROM guesses),
+judged AS (SELECT *, epoch(timezone(tz, to_timestamp(before_guess)))::BIGINT = l AS before_fits, epoch(timezone(tz, to_timestamp(plain_guess)))::BIGINT = l AS plain_fits FROM both_guesses)
+SELECT DISTINCT node_id, field, CASE WHEN f = 0 THEN (CASE WHEN length(regexp_extract(t, '(\\d+)', 1)) >= 18 THEN floor(regexp_extract(t, '^(-?\\d+)', 1)::HUGEINT / 1000000000) WHEN length(regexp_extract(t, '(\\d+)', 1)) >= 15 THEN floor(regexp_extract(t, '^(-?\\d+)', 1)::HUGEINT / 1000000)
+    WHEN length(regexp_extract(t, '(\\d+)', 1)) >= 12 THEN floor(regexp_extract(t, '^(-?\\d+)', 1)::HUGEINT / 1000) ELSE regexp_extract(t, '^(-?\\d+)', 1)::HUGEINT END)::BIGINT
+  WHEN NOT has_time THEN l WHEN stated IS NOT NULL THEN l - stated WHEN abbreviated IS NOT NULL THEN l - abbreviated WHEN before_fits THEN before_guess WHEN plain_fits THEN plain_guess ELSE before_guess END AS utc_second
+FROM judged WHERE f = 0 OR NOT has_time OR stated IS NOT NULL OR abbreviated IS NOT NULL OR (zone = '' OR contains(zone, '/')) AND tz IS NOT NULL AND h24 IS NOT NULL"""

@@ -86,7 +86,7 @@ def test_projects_and_similarity(spark, tmp_path):
     index = pipeline.Index(spark, str(tmp_path / "all" / "p"))
     pairs = lambda: {(r.source, r.target) for r in index.refresh_similarity(0.1).collect()}
     assert pairs() == {("a.md", "b.md")}
-    write(tmp_path / "p", c="# C\n\nkeeps the same few words\n")
+    write(tmp_path / "p", c="# C\n\nkeeps the same few words twice\n")
     index.refresh(str(tmp_path / "p"))
     assert ("b.md", "c.md") in pairs() and pairs() == pairs()
 
