@@ -10,7 +10,7 @@ from tools_compare import normal
 
 FOLDER = Path("/root/testdata/sf0.001")
 NAMES = [
-    "p1_found", "p1_delivered_per_run", "p4_found", "audit_stale_review", "audit_superseded_referenced", "audit_conflicting", "audit_non_canonical",
+    "p1_found", "p1_delivered_per_run", "p2_found", "p4_found", "p4_descendants", "p5_found", "search_filtered", "node_details", "node_resolution", "audit_stale_review", "audit_superseded_referenced", "audit_conflicting", "audit_non_canonical",
     "audit_competing_interpretations", "audit_impacted_deliverable", "audit_unanchored_feature", "audit_stale_by_git", "quality_scores", "files_by_prefix",
     "tag_counts", "index_stats", "status_by_project", "pending_sections", "token_rollup", "hygiene_no_outgoing", "hygiene_broken_links", "hygiene_islands",
     "commit_history", "owner_inference", "edge_summary", "impact_levels", "resolve_links", "tfidf_weights", "similar_merged", "neural_topk",

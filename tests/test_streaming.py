@@ -28,3 +28,23 @@ def test_debounce(spark):
     got = {(r.root, r.n_events) for r in watch.debounce(rows, "root", "at", "2 seconds").collect()}
     assert got == {("a", 2), ("a", 1), ("b", 1)}
     assert watch.debounce(rows.limit(0), "root", "at").count() == 0
+
+
+def test_projects_are_isolated_and_rules_hold(spark, tmp_path):
+    for name in ("p/a.md", "p/skip.md", "q/b.md", "r/c.md"):
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_text("x")
+    done, failed = set(), []
+
+    def refresh(batch, number):
+        names = {r.path.rsplit("/", 1)[-1] for r in batch.select("path").collect()}
+        if "b.md" in names:
+            raise RuntimeError("broken")
+        done.update(names)
+
+    from pyspark.sql import functions as F
+
+    project = F.element_at(F.split("path", "/"), -2)
+    stream = watch.watch(spark, str(tmp_path / "docs"), rules=[("p", "skip.md")])
+    watch.refresh_on_change(stream, str(tmp_path / "at"), watch.isolated(refresh, project, lambda p, e: failed.append(p)), once=True).awaitTermination(120)
+    assert done == {"a.md", "c.md"} and failed == ["q"]
