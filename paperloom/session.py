@@ -74,7 +74,7 @@ def fingerprint(spark: SparkSession, folder: str, tables: list[str]) -> tuple:
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if its input comes in fewer than half as many parts (a single small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df
 
 
 def newest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
