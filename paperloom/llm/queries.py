@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.graph_tables import existing_nodes
 from paperloom.llm import distinctive, language, markup, mixing, packing, splitting, tokens
-from paperloom.session import own, read
+from paperloom.session import own, read, spread
 
 TEXT_LIMIT, TEXT_OVERLAP = 4000, 200
 EXCERPT_LIMIT, EXCERPT_OVERLAP = 500, 50
@@ -17,7 +17,7 @@ EXCERPT_LIMIT, EXCERPT_OVERLAP = 500, 50
 
 def _split(spark, d, keep_short: bool) -> list[tuple[DataFrame, int]]:
     """Sections and excerpts as (split items with field, node_id, heading_path; limit)."""
-    sections = read(spark, d, "section_chunks").select(F.lit("text").alias("field"), "node_id", "heading_path", F.col("text").alias("item"))
+    sections = spread(read(spark, d, "section_chunks")).select(F.lit("text").alias("field"), "node_id", "heading_path", F.col("text").alias("item"))
     nodes = existing_nodes(read(spark, d, "nodes"), ["qualified_name", "body_excerpt"])
     path = F.regexp_extract("qualified_name", r"#(.*)$", 1)
     excerpts = nodes.select(F.lit("body_excerpt").alias("field"), F.col("id").alias("node_id"), path.alias("heading_path"), F.col("body_excerpt").alias("item"))
@@ -49,7 +49,7 @@ def p3_restored(spark, d):
 
 
 def _marked_up(spark, d):
-    sections = read(spark, d, "section_chunks").select(F.lit("text").alias("field"), "node_id", F.col("text").alias("item"))
+    sections = spread(read(spark, d, "section_chunks")).select(F.lit("text").alias("field"), "node_id", F.col("text").alias("item"))
     nodes = existing_nodes(read(spark, d, "nodes").filter("id is not null"), ["body_excerpt"])
     return sections, nodes.select(F.lit("body_excerpt").alias("field"), F.col("id").alias("node_id"), F.col("body_excerpt").alias("item"))
 
@@ -114,7 +114,7 @@ def p7_scores(spark, d):
 
 
 def _packed(spark, d, measure):
-    docs = read(spark, d, "documents").select("doc_id", measure("text").alias("tokens"))
+    docs = spread(read(spark, d, "documents")).select("doc_id", measure("text").alias("tokens"))
     return packing.pack(docs, "doc_id", "tokens", read(spark, d, "containers"))
 
 
@@ -149,7 +149,7 @@ def p8_invariants(spark, d):
 
 
 def _mix(spark, d, measure):
-    docs = read(spark, d, "documents").select("doc_id", "source", measure("text").alias("size"))
+    docs = spread(read(spark, d, "documents")).select("doc_id", "source", measure("text").alias("size"))
     return mixing.mix(docs, "doc_id", "size", "source", read(spark, d, "mix_targets"))
 
 
@@ -168,7 +168,7 @@ def p9_shares(spark, d):
 def p9_reached(spark, d):
     """Per source: what it was to give, whether it fell short with every document at its limit, and whether a source that
     did not reached its target to within one document (the largest of the source)."""
-    docs = read(spark, d, "documents").select("doc_id", "source", tokens.plain_tokens("text").alias("size"))
+    docs = spread(read(spark, d, "documents")).select("doc_id", "source", tokens.plain_tokens("text").alias("size"))
     report = mixing.mix(docs, "doc_id", "size", "source", read(spark, d, "mix_targets"))[1]
     largest = docs.groupBy(mixing.source_key(F.col("source")).alias("_s")).agg(F.max("size").alias("largest"))
     rows = report.join(largest, mixing.source_key(F.col("source")) == F.col("_s"), "left")
@@ -179,7 +179,7 @@ def p9_reached(spark, d):
 
 
 def _segments(spark, d):
-    docs = read(spark, d, "documents")
+    docs = spread(read(spark, d, "documents"))
     return language.segments(docs, language.fit(docs))
 
 
@@ -193,7 +193,7 @@ def p10_segments(spark, d):
 
 def p10_coverage(spark, d):
     """Documents in all, those with a language, and of these the ones whose segments overlap, leave the text or have a confidence outside 0 to 1."""
-    docs, found = read(spark, d, "documents"), _segments(spark, d)
+    docs, found = spread(read(spark, d, "documents")), _segments(spark, d)
     lines = docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.regexp_replace("text", r"(?U)[\W\d_]", "").alias("letters"))
     per = found.groupBy("doc_id").agg(
         F.sum(F.col("last_line") - F.col("first_line") + 1).alias("held"), F.max("last_line").alias("last"), F.min("first_line").alias("first"),
