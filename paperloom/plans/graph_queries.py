@@ -612,16 +612,22 @@ def entity_dedup(g):
     return metadata.entities(metadata.mentions(search.sections(g)))
 
 
-_STATES = """, h AS (SELECT path, seen_at, lower(regexp_replace(content_hash, '(?i)^sha256:', '')) AS d FROM versions WHERE trim(content_hash) <> ''),
-a AS (SELECT path, arg_max(d, seen_at) AS d FROM h WHERE seen_at <= 1740000000 GROUP BY path), b AS (SELECT path, arg_max(d, seen_at) AS d FROM h WHERE seen_at > 1735000000 GROUP BY path)"""
+_STATES = f"""{_CURRENT}, h AS (SELECT path, seen_at, lower(regexp_replace(content_hash, '(?i)^sha256:', '')) AS d FROM versions WHERE trim(content_hash) <> ''),
+cuts AS (SELECT max(x) FILTER (WHERE k = 2) AS c1, max(x) FILTER (WHERE k = 1) AS c2 FROM (SELECT epoch_us(started_at) // 1000000 AS x, row_number() OVER (ORDER BY started_at DESC) AS k FROM index_runs WHERE status = 'succeeded')),
+a AS (SELECT path, arg_max(d, seen_at) AS d FROM h WHERE seen_at <= (SELECT c1 FROM cuts) GROUP BY path),
+b AS (SELECT path, arg_max(d, seen_at) AS d FROM h WHERE seen_at <= (SELECT c2 FROM cuts) AND path NOT IN (SELECT path FROM current WHERE errors = 'file removed') GROUP BY path)"""
 
 
 def _states(g):
+    """Of every path the version at the last but one and at the last succeeded run; removed files have none at the latter."""
     from paperloom.operators.change_capture import change_log
 
     log = change_log(g.table("files"))
     last = lambda df: df.groupBy("path").agg(F.max(F.struct("log_offset", "digest"))["digest"].alias("digest"))
-    return last(log.filter("log_offset <= 1740000000")), last(log.filter("log_offset > 1735000000"))
+    runs = g.table("index_runs").filter("status = 'succeeded'").select(F.unix_seconds(F.col("started_at").cast("timestamp")).alias("x")).orderBy(F.col("x").desc()).limit(2).collect()
+    second, first = runs[-1]["x"], runs[0]["x"]
+    gone = listing.current_files(g).filter("errors = 'file removed'").select("path")
+    return last(log.filter(F.col("log_offset") <= second)), last(log.filter(F.col("log_offset") <= first)).join(gone, "path", "left_anti")
 
 
 @query(f"""{_STATES} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
