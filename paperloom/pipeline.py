@@ -7,7 +7,7 @@ its commit file is in place; what a broken refresh has written before that is wr
 
 Defined results: a file that cannot be read keeps a row in ``files`` with its error and has no nodes; a refresh
 that would remove more than half of a collection of ten or more files keeps the missing files (``force`` rebuilds
-everything and removes them); an empty folder gives empty tables; of repeated node ids in one file the first counts.
+everything and removes them); a refresh that finds nothing new writes nothing; an empty folder gives empty tables; of repeated node ids in one file the first counts.
 """
 
 from __future__ import annotations
@@ -88,6 +88,8 @@ class Index:
         if guard["refused"]:
             changes = changes.filter("change <> 'removed'")
         counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+        if not counts and self.version() and not force:  # nothing to do: the version stays
+            return Refreshed(self.version(), 0, 0, 0, bool(guard["refused"]), time.time() - began)
         fresh = changes.filter("change <> 'removed'").select("path")
         parsed = stored(scan.parse_files(listed.join(fresh, "path", "left_semi")), "parsed-files")
         version = self.version() + 1
