@@ -118,6 +118,51 @@ def test_refresh_scores_only_what_changed(spark, monkeypatch):
     assert s.refresh(before, changed.limit(0), feats, 0.25, 0.25) is before
 
 
+def shuffled(spark, work):
+    """Bytes that ``work`` writes to shuffle files."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    work()
+    return written() - before
+
+
+def test_shuffle_does_not_grow_with_blocks_or_pairs(spark, tmp_path):
+    rng = random.Random(1)
+    terms = [[f"w{rng.randrange(10**6)}" for _ in range(30)] for _ in range(600)]
+    rows = spark.createDataFrame([(f"d{i:03d}", t, [1.0] * 30, [], ["x"]) for i, t in enumerate(terms)], "id string, terms array<string>, weights array<double>, targets array<string>, tags array<string>").cache()
+    one, twenty = (shuffled(spark, s.block_pairs(rows, 0.9, block).count) for block in (600, 30))
+    assert 0 < twenty < 3 * one
+    few = spark.createDataFrame([(f"d{i}", f"w{i} w{i + 1}", [], ["x"]) for i in range(20)], "id string, text string, targets array<string>, tags array<string>").cache()
+    n = 300_000
+    spark.range(n).selectExpr("sha2(string(id), 256) as source", "sha2(string(-id), 256) as target", "0.5 as score").write.parquet(f"{tmp_path}/pairs")
+    changed = few.limit(2).select("id").cache()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = []
+        got = shuffled(spark, lambda: out.append(s.refresh(spark.read.parquet(f"{tmp_path}/pairs"), changed, few, 0.9, 0.9).count()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert out == [n] and got < 5_000_000
+
+
+def test_refresh_replaces_pairs_of_a_changed_class(spark):
+    schema = "id string, text string, targets array<string>, tags array<string>"
+    docs = [(f"d{i:02d}", " ".join(f"w{(i * k) % 11}" for k in range(1, 6)), ["t"] if i % 2 else [], ["x"] if i % 3 else []) for i in range(10)]
+    before = s.composite_pairs(spark.createDataFrame(docs, schema), 0.25)
+    stale = before.limit(1).withColumns({"source": s.F.lit("d01"), "target": s.F.lit("d99")})
+    docs[7] = ("d07", *docs[1][1:])
+    feats, changed = spark.createDataFrame(docs, schema), spark.createDataFrame([("d07",)], "id string")
+    of = lambda df: sorted((r.source, r.target, r.score) for r in df.collect() if {"d01", "d07"} & {r.source, r.target})
+    got = of(s.refresh(before.unionByName(stale), changed, feats, 0.25, 0.25))
+    assert got and got == of(s.composite_pairs(feats, 0.25))
+
+
 def test_similarity_edges_are_deleted_by_document_and_engine(spark):
     rows = [("a", "b", "similar_to", None), ("c", "a", "similar_to", '{"engine": "neural"}'), ("b", "c", "similar_to", None), ("a", "b", "references", None), ("a", None, None, None)]
     edges = spark.createDataFrame(rows, "source string, target string, kind string, metadata string")
